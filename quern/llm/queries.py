@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import cutoffs, sampling, tokens
+from quern.llm import cutoffs, neighbours, sampling, tokens
 from quern.tables import cut, table
 
 
@@ -34,6 +34,15 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.draw(table(spark, d, "pairs"), cut(_plan(spark, d), "plan"))
 
 
+def p4_similar(spark: SparkSession, d: str) -> DataFrame:
+    found = neighbours.similar(table(spark, d, "memories"))
+    return found.select(F.col("id").alias("memory_id"), F.col("other").alias("other_id"), F.round("cosine", 6).alias("cosine"), "place")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.close_pairs(neighbours.similar(table(spark, d, "memories")))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents"))
 
@@ -54,10 +63,18 @@ quotas AS (
   SELECT t.form, t.kind, t.scoped, CAST(greatest(t.minimum, (t.share_permille * ((SELECT count(*) FROM usable WHERE nth = 1) // 5)) // 1000) AS BIGINT) AS quota, coalesce(l.available, 0) AS available
   FROM sample_targets t LEFT JOIN leaf l ON l.form = t.form AND l.kind = t.kind AND l.scoped = t.scoped)"""
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_cutoffs, p3_found, p3_allocation, p3_sample, p8_ids)}
+NEAREST = """vec AS (SELECT id, embedding_model, kind, scope_key, CAST(embedding AS DOUBLE[]) AS e FROM memories WHERE embedding IS NOT NULL AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+compared AS (
+  SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.e, b.e) AS cosine FROM vec a JOIN vec b
+  ON a.embedding_model = b.embedding_model AND a.kind = b.kind AND (a.scope_key = b.scope_key OR a.scope_key IS NULL OR b.scope_key IS NULL) AND a.id <> b.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY cosine DESC, y) AS place FROM compared)"""
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_cutoffs, p3_found, p3_allocation, p3_sample, p4_found, p4_similar, p8_ids)}
 SQL = {
     "p2_found": f"WITH {USABLE} SELECT u.id AS memory_id FROM usable u JOIN best b ON b.kind = u.kind WHERE u.value >= b.cutoff",
     "p2_cutoffs": f"""WITH {USABLE} SELECT g.kind, CAST(g.keep AS BIGINT) AS keep_permille, coalesce(s.n, 0) AS n, b.cutoff, CAST(coalesce(r.kept, 0) AS BIGINT) AS kept, coalesce(r.ties, 0) AS ties
       FROM goal g LEFT JOIN sized s ON s.kind = g.kind LEFT JOIN best b ON b.kind = g.kind LEFT JOIN reach r ON r.kind = g.kind AND r.value = b.cutoff""",
+    "p4_found": f"WITH {NEAREST} SELECT DISTINCT least(x, y) AS memory_id_a, greatest(x, y) AS memory_id_b FROM ranked WHERE place <= 10 AND cosine >= 0.8",
+    "p4_similar": f"WITH {NEAREST} SELECT x AS memory_id, y AS other_id, round(cosine, 6) AS cosine, place FROM ranked WHERE place <= 10 AND cosine >= 0.8",
     "p3_found": f"WITH {LEAVES} SELECT form, kind, scoped FROM quotas WHERE available < quota",
 }
