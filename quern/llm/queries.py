@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import cutoffs, neighbours, sampling, tokens
+from quern.llm import conversations, cutoffs, neighbours, sampling, tokens
 from quern.tables import cut, table
 
 
@@ -43,6 +43,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.close_pairs(neighbours.similar(table(spark, d, "memories")))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.sessions(conversations.emitted(spark, f"{d}/logs.parquet")).where("reason <> ''").select("session_id")
+
+
+def p6_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.sessions(conversations.emitted(spark, f"{d}/logs.parquet"))
+
+
+def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
+    found = conversations.emitted(spark, f"{d}/logs.parquet", with_messages=True)
+    return conversations.conversations(found, table(spark, d, "logs")).select("session_id", "turn", "role", "log_id", "body")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents"))
 
@@ -69,12 +82,33 @@ compared AS (
   ON a.embedding_model = b.embedding_model AND a.kind = b.kind AND (a.scope_key = b.scope_key OR a.scope_key IS NULL OR b.scope_key IS NULL) AND a.id <> b.id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY cosine DESC, y) AS place FROM compared)"""
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_cutoffs, p3_found, p3_allocation, p3_sample, p4_found, p4_similar, p8_ids)}
+WHITE = "'[ \\t\\n\\r\\f\\v\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+'"
+TALK = f"""arrival AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, entry_id ORDER BY received_at NULLS LAST, id) AS nth FROM logs WHERE session_id IS NOT NULL AND entry_id IS NOT NULL) WHERE nth = 1
+  UNION ALL SELECT *, 1 FROM logs WHERE session_id IS NOT NULL AND entry_id IS NULL),
+message AS (
+  SELECT session_id, id, occurred_at, CASE actor WHEN 'human' THEN 'user' WHEN 'agent' THEN 'assistant' WHEN 'system' THEN 'system' END AS role, body
+  FROM arrival WHERE kind IN ('prompt', 'response', 'system') AND coalesce(actor_depth, 0) = 0 AND body IS NOT NULL AND regexp_replace(body, {WHITE}, '', 'g') <> ''),
+talk AS (
+  SELECT session_id, role, row_number() OVER w AS nth, lead(role) OVER w AS next FROM message WHERE role IS NULL OR role <> 'system'
+  WINDOW w AS (PARTITION BY session_id ORDER BY occurred_at NULLS FIRST, id)),
+verdict AS (
+  SELECT s.session_id, coalesce(m.messages, 0) AS messages,
+    CASE WHEN m.missing > 0 THEN 'actor or time missing' WHEN coalesce(m.users, 0) = 0 THEN 'no user' WHEN m.assistants = 0 THEN 'no assistant'
+      WHEN t.start THEN 'does not start with the user' WHEN t.unanswered THEN 'user without reply' ELSE '' END AS reason
+  FROM (SELECT DISTINCT session_id FROM logs WHERE session_id IS NOT NULL) s
+  LEFT JOIN (SELECT session_id, count(*) AS messages, count(*) FILTER (role IS NULL OR occurred_at IS NULL) AS missing, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants FROM message GROUP BY 1) m ON m.session_id = s.session_id
+  LEFT JOIN (SELECT session_id, bool_or(nth = 1 AND role <> 'user') AS start, bool_or(role = 'user' AND (next IS NULL OR next = 'user')) AS unanswered FROM talk GROUP BY 1) t ON t.session_id = s.session_id)"""
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_cutoffs, p3_found, p3_allocation, p3_sample, p4_found, p4_similar, p6_found, p6_sessions, p6_conversations, p8_ids)}
 SQL = {
     "p2_found": f"WITH {USABLE} SELECT u.id AS memory_id FROM usable u JOIN best b ON b.kind = u.kind WHERE u.value >= b.cutoff",
     "p2_cutoffs": f"""WITH {USABLE} SELECT g.kind, CAST(g.keep AS BIGINT) AS keep_permille, coalesce(s.n, 0) AS n, b.cutoff, CAST(coalesce(r.kept, 0) AS BIGINT) AS kept, coalesce(r.ties, 0) AS ties
       FROM goal g LEFT JOIN sized s ON s.kind = g.kind LEFT JOIN best b ON b.kind = g.kind LEFT JOIN reach r ON r.kind = g.kind AND r.value = b.cutoff""",
     "p4_found": f"WITH {NEAREST} SELECT DISTINCT least(x, y) AS memory_id_a, greatest(x, y) AS memory_id_b FROM ranked WHERE place <= 10 AND cosine >= 0.8",
     "p4_similar": f"WITH {NEAREST} SELECT x AS memory_id, y AS other_id, round(cosine, 6) AS cosine, place FROM ranked WHERE place <= 10 AND cosine >= 0.8",
+    "p6_found": f"WITH {TALK} SELECT session_id FROM verdict WHERE reason <> ''",
+    "p6_sessions": f"WITH {TALK} SELECT session_id, reason, messages FROM verdict",
+    "p6_conversations": f"WITH {TALK} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY occurred_at, id) AS turn, role, id AS log_id, body FROM message WHERE session_id IN (SELECT session_id FROM verdict WHERE reason = '')",
     "p3_found": f"WITH {LEAVES} SELECT form, kind, scoped FROM quotas WHERE available < quota",
 }
