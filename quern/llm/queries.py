@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import conversations, cutoffs, neighbours, packing, sampling, tokens
+from quern.llm import conversations, cutoffs, neighbours, packing, sampling, spans, tokens
 from quern.tables import cut, table
 
 
@@ -94,6 +94,14 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(packing.packed(table(spark, d, "documents")))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared(table(spark, d, "documents")).select("doc_id", "shared_chars")
+
+
+def p10_spans(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared(table(spark, d, "documents"))
+
+
 WHITE = "'[ \\t\\n\\r\\f\\v\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+'"
 TALK = f"""arrival AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, entry_id ORDER BY received_at NULLS LAST, id) AS nth FROM logs WHERE session_id IS NOT NULL AND entry_id IS NOT NULL) WHERE nth = 1
@@ -112,7 +120,7 @@ verdict AS (
   LEFT JOIN (SELECT session_id, count(*) AS messages, count(*) FILTER (role IS NULL OR occurred_at IS NULL) AS missing, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants FROM message GROUP BY 1) m ON m.session_id = s.session_id
   LEFT JOIN (SELECT session_id, bool_or(nth = 1 AND role <> 'user') AS start, bool_or(role = 'user' AND (next IS NULL OR next = 'user')) AS unanswered FROM talk GROUP BY 1) t ON t.session_id = s.session_id)"""
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_cutoffs, p3_found, p3_allocation, p3_sample, p4_found, p4_similar, p6_found, p6_sessions, p6_conversations, p8_ids, p9_found, p9_packing, p9_containers)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_cutoffs, p3_found, p3_allocation, p3_sample, p4_found, p4_similar, p6_found, p6_sessions, p6_conversations, p8_ids, p9_found, p9_packing, p9_containers, p10_found, p10_spans)}
 SQL = {
     "p2_found": f"WITH {USABLE} SELECT u.id AS memory_id FROM usable u JOIN best b ON b.kind = u.kind WHERE u.value >= b.cutoff",
     "p2_cutoffs": f"""WITH {USABLE} SELECT g.kind, CAST(g.keep AS BIGINT) AS keep_permille, coalesce(s.n, 0) AS n, b.cutoff, CAST(coalesce(r.kept, 0) AS BIGINT) AS kept, coalesce(r.ties, 0) AS ties
