@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import conversations, cutoffs, neighbours, packing, sampling, spans, tokens
+from quern.llm import conversations, cutoffs, neighbours, packing, pii, sampling, spans, tokens
 from quern.tables import cut, table
 
 
@@ -56,6 +56,15 @@ def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(found, table(spark, d, "logs")).select("session_id", "turn", "role", "log_id", "body")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.found(table(spark, d, "logs"), table(spark, d, "name_parts"))
+    return found.select("log_id", "pii_type", "span_start")
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "logs"), table(spark, d, "name_parts")).withColumnRenamed("id", "log_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents"))
 
@@ -120,7 +129,7 @@ verdict AS (
   LEFT JOIN (SELECT session_id, count(*) AS messages, count(*) FILTER (role IS NULL OR occurred_at IS NULL) AS missing, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants FROM message GROUP BY 1) m ON m.session_id = s.session_id
   LEFT JOIN (SELECT session_id, bool_or(nth = 1 AND role <> 'user') AS start, bool_or(role = 'user' AND (next IS NULL OR next = 'user')) AS unanswered FROM talk GROUP BY 1) t ON t.session_id = s.session_id)"""
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_cutoffs, p3_found, p3_allocation, p3_sample, p4_found, p4_similar, p6_found, p6_sessions, p6_conversations, p8_ids, p9_found, p9_packing, p9_containers, p10_found, p10_spans)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_cutoffs, p3_found, p3_allocation, p3_sample, p4_found, p4_similar, p6_found, p6_sessions, p6_conversations, p7_found, p7_redacted, p8_ids, p9_found, p9_packing, p9_containers, p10_found, p10_spans)}
 SQL = {
     "p2_found": f"WITH {USABLE} SELECT u.id AS memory_id FROM usable u JOIN best b ON b.kind = u.kind WHERE u.value >= b.cutoff",
     "p2_cutoffs": f"""WITH {USABLE} SELECT g.kind, CAST(g.keep AS BIGINT) AS keep_permille, coalesce(s.n, 0) AS n, b.cutoff, CAST(coalesce(r.kept, 0) AS BIGINT) AS kept, coalesce(r.ties, 0) AS ties
