@@ -27,9 +27,9 @@ from quern.tables import cut
 LENGTH = 200
 #: Characters of an anchor: of the windows of a span, about one in (LENGTH - GRAM) / 2 characters is one.
 GRAM = 80
-#: Cells of a row of the sketch per anchor, and the most cells of a row (two bits each: 32 MB a row). A sketch that is
+#: Cells of a row of the sketch per anchor, and the most cells of a row (8 MB a row, 64 MB in a worker that fills it). A sketch that is
 #: full because the input outgrew it lets more windows into the exact grouping and loses none.
-CELLS_PER_ANCHOR, MOST_CELLS, ROWS, BLOCK = 8, 1 << 27, 2, 1 << 19
+CELLS_PER_ANCHOR, MOST_CELLS, ROWS, BLOCK = 8, 1 << 25, 2, 1 << 19
 LOW = np.uint64(0xFFFFFFFF)
 BASE, MIX = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 
