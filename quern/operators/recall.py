@@ -50,7 +50,7 @@ def match(prompts: DataFrame, statements: DataFrame, now: Column, *, moment: Col
     kept = baseline(met).where((F.col("similarity") > F.col("floor") + margin) & unseen & memory.actionable(threshold))
     kept = kept.withColumn("rank", F.col("similarity") * memory.worth(F.col("kind"), F.col("said_at"), F.col("created_at"), now))
     best = Window.partitionBy("prompt_id").orderBy(F.desc("rank"), "memory_id")
-    return kept.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("prompt_id", "memory_id", "similarity", "floor", "rank", "place")
+    return kept.withColumn("place", F.row_number().over(best).cast("long")).where(F.col("place") <= limit).select("prompt_id", "memory_id", "similarity", "floor", "rank", "place")
 
 
 def opening(asks: DataFrame, statements: DataFrame, now: Column, limit: int) -> DataFrame:
@@ -62,7 +62,7 @@ def opening(asks: DataFrame, statements: DataFrame, now: Column, limit: int) ->
         met = met.where(~F.coalesce(F.array_contains("seen", F.col("memory_id")), F.lit(False)))
     ranked = met.withColumn("rank", memory.worth(F.col("kind"), F.col("said_at"), F.col("created_at"), now))
     best = Window.partitionBy("prompt_id").orderBy(F.desc("rank"), F.desc("created_at"), "memory_id")
-    return ranked.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("prompt_id", "memory_id", "rank", "place")
+    return ranked.withColumn("place", F.row_number().over(best).cast("long")).where(F.col("place") <= limit).select("prompt_id", "memory_id", "rank", "place")
 
 
 def read(statements: DataFrame, ask: str | None, now: Column, *, order: str = "rank", limit: int = 50) -> DataFrame:
@@ -83,7 +83,7 @@ def standing(messages: DataFrame, statements: DataFrame, limit: int = 40) -> Dat
     mine = statements.where(memory.live()).select(F.col("id").alias("memory_id"), F.col("scope_key").alias("at_scope"), F.col("kind"), F.col("said_at").alias("earlier_at"))
     met = scope.reachable_join(messages, mine, "ask", "at_scope").where(F.array_contains("kinds", F.col("kind")) & (F.col("earlier_at") < F.col("said_at")))
     newest = Window.partitionBy("prompt_id").orderBy(F.desc("earlier_at"), F.desc("memory_id"))
-    return met.withColumn("number", F.row_number().over(newest)).where(F.col("number") <= limit).select("prompt_id", "memory_id", "number")
+    return met.withColumn("number", F.row_number().over(newest).cast("long")).where(F.col("number") <= limit).select("prompt_id", "memory_id", "number")
 
 
 def seen(handed: DataFrame) -> DataFrame:
