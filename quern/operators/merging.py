@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import memory, text
+from quern.operators import vectors
 
 LOWER, UPPER, SETTLES, KEEPS, SAME = 0.80, 0.95, 0.7, 0.4, 0.5
 
@@ -23,20 +24,20 @@ def similar_pairs(statements: DataFrame, now: Column, *, lower: float = LOWER, u
 
     Both have the same scope (null is a scope of its own), the same model and, unless across_kinds, the same kind;
     older comes first by (said_at, id). Blocked by those keys as equalities; an exact pass over each block. For
-    large blocks use the hashed search of the similarity operator for candidates.
+    blocks beyond millions of rows candidates should come from a hashed search first.
     """
     rows = eligible(statements, now).select("id", "kind", "scope_key", "embedding_model", "said_at", "embedding", "statement")
-    a = rows.select(*[F.col(c).alias(f"older_{c}") for c in rows.columns])
-    b = rows.select(*[F.col(c).alias(f"newer_{c}") for c in rows.columns])
-    same = F.col("older_scope_key").eqNullSafe(F.col("newer_scope_key")) & (F.col("older_embedding_model") == F.col("newer_embedding_model"))
-    if not across_kinds:
-        same = same & (F.col("older_kind") == F.col("newer_kind"))
-    earlier = F.struct("older_said_at", "older_id") < F.struct("newer_said_at", "newer_id")
-    pairs = a.join(b, same & earlier).withColumn("similarity", memory.cosine(F.col("older_embedding"), F.col("newer_embedding")))
-    pairs = pairs.where(F.col("similarity") >= lower)
+    block = [F.coalesce("scope_key", F.lit("\x00")).alias("at"), F.col("embedding_model").alias("model"), *([] if across_kinds else [F.col("kind").alias("of")])]
+    names = ["at", "model", *([] if across_kinds else ["of"])]
+    left, right = (rows.select(F.col("id").alias(f"{side}_id"), F.col("embedding").alias(f"{side}_vector"), *block) for side in ("left", "right"))
+    close = vectors.cosines(left, right, names, least=lower).where("left_id <> right_id")
     if upper is not None:
-        pairs = pairs.where(F.col("similarity") < upper)
-    return pairs.drop("older_embedding", "newer_embedding", "newer_scope_key", "newer_embedding_model").withColumnsRenamed({"older_scope_key": "scope_key", "older_embedding_model": "embedding_model"})
+        close = close.where(F.col("similarity") < upper)
+    told = rows.drop("embedding", "embedding_model")
+    a = told.select(*[F.col(c).alias("scope_key" if c == "scope_key" else f"older_{c}") for c in told.columns])
+    b = told.drop("scope_key").select(*[F.col(c).alias(f"newer_{c}") for c in told.columns if c != "scope_key"])
+    pairs = close.withColumnsRenamed({"left_id": "older_id", "right_id": "newer_id"}).join(a, "older_id").join(b, "newer_id")
+    return pairs.where(F.struct("older_said_at", "older_id") < F.struct("newer_said_at", "newer_id"))
 
 
 def decide(pairs: DataFrame, answers: DataFrame | None = None, *, upper: float = UPPER, settles: float = SETTLES, keeps: float = KEEPS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import memory, scope
+from quern.operators import vectors
 
 MARGIN, LIMIT, ACTIONABLE = 0.09, 5, 0.6
 NEIGHBOURS, EMPTY_SHARE, SILENCE_WORDS = 20, 0.8, 12
@@ -17,12 +18,16 @@ NEIGHBOURS, EMPTY_SHARE, SILENCE_WORDS = 20, 0.8, 12
 def neighbours(prompts: DataFrame, statements: DataFrame, moment: Column, now: Column, *, by_said_at: bool = False) -> DataFrame:
     """prompts x reachable statements that stood at the moment and were embedded by the same model, with similarity.
 
-    prompts has prompt_id, ask, model, vector; statements are rows of memories. Reachability is an equi-join on exploded
-    scope ancestors, so a prompt meets only the statements of its scopes.
+    prompts has prompt_id, ask, model, vector; statements are rows of memories. Reachability is equality with one of the
+    exploded scope ancestors, so a prompt meets only the statements of its scopes, tile by tile.
     """
-    mine = statements.where("embedding is not null").select(F.col("id").alias("memory_id"), F.col("scope_key").alias("at_scope"), F.col("embedding_model").alias("model"), F.col("embedding"), "kind", "statement", "score", "said_at", "created_at", "superseded_by", "superseded_at", "ended_at", "until_moment", "actionable")
-    met = scope.reachable_join(prompts.withColumnRenamed("model", "asked_model"), mine, "ask", "at_scope").where(F.col("asked_model") == F.col("model"))
-    return met.where(memory.live_at(moment, now, by_said_at)).withColumn("similarity", memory.cosine(F.col("vector"), F.col("embedding"))).drop("embedding", "vector", "model")
+    mine = statements.where("embedding is not null").where(memory.live_at(moment, now, by_said_at))
+    placed = mine.select(F.col("id").alias("right_id"), F.col("embedding").alias("right_vector"), F.col("embedding_model").alias("model"), F.coalesce("scope_key", F.lit("\x00")).alias("at"))
+    asked = prompts.select(F.col("prompt_id").alias("left_id"), F.col("vector").alias("left_vector"), "model", F.explode(F.concat(scope.ancestors(F.col("ask")), F.array(F.lit("\x00")))).alias("at"))
+    met = vectors.cosines(asked, placed, ["model", "at"]).withColumnsRenamed({"left_id": "prompt_id", "right_id": "memory_id"})
+    met = met.join(mine.select(F.col("id").alias("memory_id"), "kind", "said_at", "created_at", "actionable"), "memory_id")
+    more = [c for c in prompts.columns if c not in ("prompt_id", "ask", "model", "vector", *met.columns)]
+    return met.join(prompts.select("prompt_id", *more), "prompt_id") if more else met
 
 
 def baseline(met: DataFrame, keys: list[str] = ["prompt_id"]) -> DataFrame:
@@ -98,8 +103,10 @@ def holds_nothing(prompts: DataFrame, readings: DataFrame, *, nearest: int = NEI
     readings has model, vector, empty, classified_at, id; filters come before the nearest are taken. Fewer than nearest
     neighbours never silence.
     """
-    earlier = readings.select(F.col("id").alias("reading_id"), "model", F.col("vector").alias("their"), "empty", "classified_at")
-    met = prompts.join(earlier, "model").where(F.col("classified_at") <= F.col("as_of")).withColumn("similarity", memory.cosine(F.col("vector"), F.col("their")))
+    asked = prompts.select(F.col("prompt_id").alias("left_id"), F.col("vector").alias("left_vector"), "model", F.unix_micros("as_of").alias("left_order")).where("left_order is not null")
+    known = readings.select(F.col("id").alias("right_id"), F.col("vector").alias("right_vector"), "model", F.unix_micros("classified_at").alias("right_order")).where("right_order is not null")
+    met = vectors.cosines(asked, known, ["model"], top=nearest, ordered=True).withColumnsRenamed({"left_id": "prompt_id", "right_id": "reading_id"})
+    met = met.join(readings.select(F.col("id").alias("reading_id"), "empty"), "reading_id")
     close = Window.partitionBy("prompt_id").orderBy(F.desc("similarity"), "reading_id")
     top = met.withColumn("nth", F.row_number().over(close)).where(F.col("nth") <= nearest)
     votes = top.groupBy("prompt_id").agg(F.count("*").alias("neighbours"), F.avg(F.col("empty").cast("double")).alias("empty_share"))

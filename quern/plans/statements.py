@@ -121,7 +121,7 @@ def standing_candidates(spark, d):
 
 @query("""WITH vec AS (SELECT id, embedding_model AS model, CAST(embedding AS DOUBLE[]) AS e, coalesce(score < 0.4, false) AS empty, created_at FROM memories WHERE embedding IS NOT NULL AND created_at IS NOT NULL),
 met AS (SELECT p.id AS prompt_id, r.id AS reading_id, r.empty, CASE WHEN list_dot_product(p.e, p.e) * list_dot_product(r.e, r.e) > 0 THEN list_cosine_similarity(p.e, r.e) END AS similarity FROM vec p JOIN vec r ON p.model = r.model AND r.created_at <= p.created_at WHERE p.id % 25 = 0),
-top AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY similarity DESC NULLS LAST, reading_id) AS nth FROM met)
+top AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY similarity DESC, reading_id) AS nth FROM met WHERE similarity IS NOT NULL)
 SELECT prompt_id, count(*) AS neighbours, round(avg(CAST(empty AS INT)), 6) AS empty_share, count(*) >= 20 AND avg(CAST(empty AS INT)) > 0.8 AS silent FROM top WHERE nth <= 20 GROUP BY prompt_id""")
 def silence_vote(spark, d):
     rows = _memories(spark, d).where("embedding is not null and created_at is not null")
