@@ -67,10 +67,9 @@ def allocation(found: DataFrame, targets: DataFrame, *, one_in: int = 5) -> Data
     The work is on one row per leaf.
     """
     leaf = [F.lower(stripped("form")).alias("form"), F.lower(stripped("kind")).alias("kind"), F.col("scoped").cast("int").alias("scoped")]
-    sample = F.expr(f"n div {one_in}")
-    total = found.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("n"))
-    quota = F.greatest(F.coalesce("minimum", F.lit(0)).cast("long"), F.expr("coalesce(share_permille, 0) * size div 1000").cast("long"))
-    goals = targets.select(*leaf, "share_permille", "minimum").join(total).withColumn("size", sample).withColumn("quota", quota).groupBy(*LEAF).agg(F.max("quota").alias("quota"))
+    size = (found.agg(F.sum("available")).first()[0] or 0) // one_in  # one number
+    quota = F.greatest(F.coalesce("minimum", F.lit(0)).cast("long"), F.expr(f"coalesce(share_permille, 0) * {size}L div 1000").cast("long"))
+    goals = targets.select(*leaf, "share_permille", "minimum").withColumn("quota", quota).groupBy(*LEAF).agg(F.max("quota").alias("quota"))
     leaves = goals.join(found, LEAF, "left").withColumn("available", F.coalesce("available", F.lit(0).cast("long")))
     leaves = leaves.withColumn("own", F.least("quota", "available")).withColumn("taken", F.col("own")).withColumn("unmet", F.col("quota") - F.col("own"))
     leaves = _pass_on(leaves, ["form", "kind"], "from_siblings")
