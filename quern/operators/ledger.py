@@ -64,12 +64,9 @@ def next_cursor(page: DataFrame, limit: int) -> DataFrame:
 
 
 def gauges(**counts: DataFrame) -> DataFrame:
-    """One row with the number of rows of each table, by one job."""
-    one = None
-    for name, df in counts.items():
-        n = df.agg(F.count("*").alias(name))
-        one = n if one is None else one.crossJoin(n)  # one row each
-    return one
+    """One row with the number of rows of each table, as scalar subqueries of one query."""
+    spark = next(iter(counts.values())).sparkSession
+    return spark.range(1).select(*[df.agg(F.count("*")).scalar().alias(name) for name, df in counts.items()])
 
 
 def exposition(counted: DataFrame, name: str, label: str) -> DataFrame:

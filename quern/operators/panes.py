@@ -27,8 +27,10 @@ def first_arrivals(logs: DataFrame, *carried: str) -> DataFrame:
     names = ["received_at", "id", *carried]
     value = F.struct(F.col("received_at").isNull().alias("unknown"), *names)
     whole = F.col("session_id").isNotNull() & F.col("entry_id").isNotNull()
-    chosen = logs.where(whole).groupBy("session_id", "entry_id").agg(F.min(value).alias("row")).select("session_id", "entry_id", *[F.col(f"row.{c}").alias(c) for c in names])
-    return chosen.unionByName(logs.where(~whole).select("session_id", "entry_id", *names))
+    # a row with a null key is a group of its own, so that the table is read once
+    marked = logs.withColumn("__own", F.when(~whole, F.monotonically_increasing_id()))
+    chosen = marked.groupBy("session_id", "entry_id", "__own").agg(F.min(value).alias("row"))
+    return chosen.select("session_id", "entry_id", *[F.col(f"row.{c}").alias(c) for c in names])
 
 
 def pane_width(size: int, slide: int) -> int:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quern.functions import scope, text
 
 SLACK = 5
+#: Seconds of a period of an as-of join.
+PERIOD = 6 * 3600
 ROUNDS, BUDGET = 5, 60_000
 
 
@@ -19,17 +21,23 @@ def prompts(logs: DataFrame) -> DataFrame:
 def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, tie: str, *, slack: int = 0, carried: list[str]) -> DataFrame:
     """left with the carried columns of the latest right row of its key at most slack seconds after it, null if none.
 
-    One sort of both sides by (key, time), no range join: right rows are placed slack seconds earlier, and each left row
-    takes the last right row at or before it.
+    No range join: right rows are placed slack seconds earlier, both sides are sorted by time within (key, period of
+    PERIOD seconds), and each left row takes the last right row at or before it, else the last of the earlier periods,
+    which are composed per key from one row a period. So a key of any share of the rows is spread over its periods.
     """
     tag = F.struct(*[F.col(c) for c in carried])
-    micros = lambda c: F.unix_micros(c)
-    r = right.where(F.col(right_at).isNotNull() & F.col(key).isNotNull()).select(F.col(key), (micros(right_at) - slack * 1_000_000).alias("__at"), F.lit(0).alias("__side"), F.col(tie).cast("long").alias("__tie"), tag.alias("__row"))
-    l = left.select(F.col(key), micros(left_at).alias("__at"), F.lit(1).alias("__side"), F.lit(0).cast("long").alias("__tie"), F.lit(None).cast(r.schema["__row"].dataType).alias("__row"), F.struct(*left.columns).alias("__left"))
+    period = lambda c: F.floor(F.col(c) / F.lit(PERIOD * 1_000_000)).alias("__period")
+    r = right.where(F.col(right_at).isNotNull() & F.col(key).isNotNull()).select(F.col(key), (F.unix_micros(right_at) - slack * 1_000_000).alias("__at"), F.lit(0).alias("__side"), F.col(tie).cast("long").alias("__tie"), tag.alias("__row"))
+    l = left.select(F.col(key), F.unix_micros(left_at).alias("__at"), F.lit(1).alias("__side"), F.lit(0).cast("long").alias("__tie"), F.lit(None).cast(r.schema["__row"].dataType).alias("__row"), F.struct(*left.columns).alias("__left"))
     r = r.withColumn("__left", F.lit(None).cast(l.schema["__left"].dataType))
-    along = Window.partitionBy(key).orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(l).withColumn("__found", F.last("__row", ignorenulls=True).over(along)).where("__side = 1")
-    return both.select("__left.*", *[F.col(f"__found.{c}").alias(c) for c in carried])
+    both = r.unionByName(l).withColumn("__period", period("__at"))
+    last = both.groupBy(key, "__period").agg(F.max_by("__row", F.when(F.col("__side") == 0, F.struct("__at", "__tie"))).alias("__last"))
+    earlier = Window.partitionBy(key).orderBy("__period").rowsBetween(Window.unboundedPreceding, -1)
+    before = last.select(F.col(key).alias("__of"), F.col("__period").alias("__in"), F.last("__last", ignorenulls=True).over(earlier).alias("__before")).where("__before is not null")
+    along = Window.partitionBy(key, "__period").orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__found", F.last("__row", ignorenulls=True).over(along)).where("__side = 1")
+    found = found.join(before, (F.col(key) == F.col("__of")) & (F.col("__period") == F.col("__in")), "left").withColumn("__found", F.coalesce("__found", "__before"))
+    return found.select("__left.*", *[F.col(f"__found.{c}").alias(c) for c in carried])
 
 
 def ranked_injections(injections: DataFrame) -> DataFrame:
@@ -97,7 +105,6 @@ def exchanges(logs: DataFrame) -> DataFrame:
 
     until_at is null for the newest, which is still open.
     """
-    down = Window.partitionBy("session_id").orderBy(F.desc("occurred_at"), F.desc("id"))
     rows = prompts(logs).where("session_id is not null").select("session_id", "id", F.col("occurred_at").alias("from_at"))
     down = Window.partitionBy("session_id").orderBy(F.desc("from_at"), F.desc("id"))
     return rows.select("session_id", (F.row_number().over(down) - 1).alias("page"), "id", "from_at", F.lag("from_at").over(down).alias("until_at"))

@@ -35,7 +35,7 @@ def exports(spark: SparkSession, path: str, *, stream: bool = False) -> DataFram
 def _quoted(s: Column) -> Column:
     """The string as JSON text."""
     whole = F.to_json(F.struct(s.alias("s")))
-    return F.substring(whole, 6, F.length(whole) - 6)
+    return F.when(s.isNotNull(), F.substring(whole, 6, F.length(whole) - 6))
 
 
 def _json(v: Column, depth: int) -> Column:
@@ -43,11 +43,13 @@ def _json(v: Column, depth: int) -> Column:
     at = lambda k: F.get_json_object(v, f"$.{k}")
     out = F.when(at("stringValue").isNotNull(), _quoted(at("stringValue"))).when(at("intValue").isNotNull(), at("intValue")).when(at("doubleValue").isNotNull(), at("doubleValue")).when(at("boolValue").isNotNull(), at("boolValue"))
     if depth:
-        items = F.from_json(F.coalesce(at("arrayValue.values"), F.lit("[]")), "array<string>")
-        pairs = F.from_json(F.coalesce(at("kvlistValue.values"), F.lit("[]")), PAIRS)
-        inside = lambda x: F.coalesce(_json(x, depth - 1), F.lit("null"))
-        out = out.when(at("arrayValue").isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(items, inside), ", "), F.lit("]")))
-        out = out.when(at("kvlistValue").isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(_quoted(p["key"]), F.lit(": "), inside(p["value"]))), ", "), F.lit("}")))
+        # one list of (key, value) for both, so that the expression grows with depth and not with its power
+        items = F.from_json(at("arrayValue.values"), "array<string>")
+        pairs = F.from_json(at("kvlistValue.values"), PAIRS)
+        listed = F.transform(items, lambda x: F.named_struct(F.lit("key"), F.lit(None).cast("string"), F.lit("value"), x))
+        inner = F.transform(F.coalesce(pairs, listed, F.array().cast(PAIRS)), lambda p: F.concat(F.coalesce(F.concat(_quoted(p["key"]), F.lit(": ")), F.lit("")), F.coalesce(_json(p["value"], depth - 1), F.lit("null"))))
+        mapped = at("kvlistValue").isNotNull()
+        out = out.when(mapped | at("arrayValue").isNotNull(), F.concat(F.when(mapped, "{").otherwise("["), F.array_join(inner, ", "), F.when(mapped, "}").otherwise("]")))
     return out.otherwise(v if depth == 0 else F.lit(None).cast("string"))
 
 
@@ -78,7 +80,8 @@ def unpack(records: DataFrame, namespace: str = "memory", keep: tuple[str, ...]
     An attribute of the record hides the resource's, also when it is null. Numbers that are none become null.
     namespace is the prefix of the producer's own attributes; keep names columns to carry along.
     """
-    rows = records.withColumn("attributes", as_map(F.col("record.attributes")))
+    # exploded from an array of one, so that the optimizer can't repeat the map in each of the columns lifted from it
+    rows = records.select("*", F.explode(F.array(as_map(F.col("record.attributes")))).alias("attributes"), any_text(F.col("record.body")).alias("body"))
     named = lambda k: k.replace("own/", f"{namespace}.")
     get = lambda k: F.when(F.map_contains_key("attributes", F.lit(named(k))), F.try_element_at("attributes", F.lit(named(k)))).otherwise(F.try_element_at("resource", F.lit(named(k))))
     return rows.select(
@@ -93,7 +96,7 @@ def unpack(records: DataFrame, namespace: str = "memory", keep: tuple[str, ...]
         F.col("record.severityNumber").try_cast("smallint").alias("severity_number"),
         F.col("record.traceId").alias("trace_id"),
         F.col("record.spanId").alias("span_id"),
-        any_text(F.col("record.body")).alias("body"),
+        "body",
         "attributes",
         *[get(k).alias(c) for c, k in TEXTS.items()],
         *[text.lenient(get(k), kind).alias(c) for c, (k, kind) in NUMBERS.items()],
@@ -103,16 +106,18 @@ def unpack(records: DataFrame, namespace: str = "memory", keep: tuple[str, ...]
 def new_rows(rows: DataFrame, stored: DataFrame | None, keys: list[str], order: list[str]) -> DataFrame:
     """Rows to append: of equal non-null keys the first by order, and only if not stored yet; rows with a null key all.
 
-    Nulls never conflict, so they are set apart from the de-duplication, which would take them as equal.
+    Nulls never conflict, though grouping would take them as equal; an anti-join keeps them.
     """
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
     others = [c for c in rows.columns if c not in keys]
-    first = rows.where(whole).groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("row")).select(*keys, "row.*").select(rows.columns)
+    # a row with a null key is a group of its own, so that the rows are read once
+    marked = rows.withColumn("__own", F.when(~whole, F.monotonically_increasing_id()))
+    first = marked.groupBy(*keys, "__own").agg(F.min_by(F.struct(*others), F.struct(*order)).alias("row")).select(*keys, "row.*").select(rows.columns)
     if stored is not None:
         first = first.join(stored.select(*keys), keys, "left_anti").select(rows.columns)
-    return first.unionByName(rows.where(~whole))
+    return first
 
 
 def new_dimension(rows: DataFrame, stored: DataFrame | None, fingerprint: str, value: list[str]) -> DataFrame:

@@ -73,7 +73,8 @@ def pane_stream(events: DataFrame, keys: list[str], store: Store, table: str, ch
     def write(batch: DataFrame, number: int) -> None:
         changed = batch.withColumn("batch", F.lit(number).cast("long"))
         store.append(f"{table}_panes", changed)
-        last = store.read(f"{table}_panes").where(F.col("batch") <= number).groupBy(*keys, "pane").agg(F.max_by(F.struct("records", "late"), "batch").alias("c")).select(*keys, "pane", F.col("c.records").alias("on_time"), F.col("c.late").alias("late"), F.lit(0).cast("long").alias("dropped"))
+        mine = store.read(f"{table}_panes").where(F.col("batch") <= number).join(batch.select(*keys).distinct(), keys, "left_semi")
+        last = mine.groupBy(*keys, "pane").agg(F.max_by(F.struct("records", "late"), "batch").alias("c")).select(*keys, "pane", F.col("c.records").alias("on_time"), F.col("c.late").alias("late"), F.lit(0).cast("long").alias("dropped"))
         touched = panes.windows(batch.select(*keys, "pane", F.lit(0).cast("long").alias("on_time"), F.lit(0).cast("long").alias("late"), F.lit(0).cast("long").alias("dropped")), keys, size=size, slide=slide, width=width).select(*keys, "window_start")
         whole = panes.windows(last, keys, size=size, slide=slide, width=width)
         out = whole.join(touched, [*keys, "window_start"], "left_semi").select(*keys, "window_start", F.col("on_time").alias("records"), "late", F.lit(number).cast("long").alias("batch"))
