@@ -69,3 +69,36 @@ def handed_lines(spark, d):
 def records_containing(spark, d):
     """An extension: records that hold a word."""
     return table(spark, d, "logs").where(F.col("body").contains("rerun") & (F.col("harness") == "loom")).select("id", "body")
+
+
+@query("SELECT id, nullif(concat_ws(':', nullif(entry_id, ''), nullif(kind, ''), nullif(tool_name, '')), '') AS identity FROM logs")
+def record_identity(spark, d):
+    return table(spark, d, "logs").select("id", text.identity(F.col("entry_id"), F.col("kind"), F.col("tool_name")).alias("identity"))
+
+
+@query("SELECT id, replace(body, chr(0), chr(65533)) AS body FROM logs WHERE kind = 'system'")
+def clean_bodies(spark, d):
+    return table(spark, d, "logs").where("kind = 'system'").select("id", text.clean_nul(F.col("body")).alias("body"))
+
+
+@query("SELECT id FROM logs WHERE occurred_at >= TIMESTAMPTZ '2024-01-03 00:00:00+00' AND occurred_at < least(TIMESTAMPTZ '2024-01-09 00:00:00+00', TIMESTAMPTZ '2024-01-06 00:00:00+00') AND received_at <= TIMESTAMPTZ '2024-01-06 00:00:00+00'")
+def records_as_of(spark, d):
+    """A time range clipped by the moment of the reading: what had happened and had arrived by then."""
+    at = lambda m: F.lit(m).cast("timestamp")
+    seen = at("2024-01-06 00:00:00")
+    return table(spark, d, "logs").where((F.col("occurred_at") >= at("2024-01-03 00:00:00")) & (F.col("occurred_at") < F.least(at("2024-01-09 00:00:00"), seen)) & (F.col("received_at") <= seen)).select("id")
+
+
+@query("SELECT id, array_to_string(list_sort(list_distinct(list_concat(memory_ids, [1, 2, 3]))), ',') AS joined, len(list_filter(list_distinct(memory_ids), lambda x: x NOT IN (1, 2, 3))) AS rest FROM injections WHERE memory_ids IS NOT NULL")
+def handed_sets(spark, d):
+    few = F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)])
+    rows = table(spark, d, "injections").where("memory_ids is not null")
+    return rows.select("id", F.array_join(F.array_sort(F.array_union("memory_ids", few)).cast("array<string>"), ",").alias("joined"), F.size(F.array_except("memory_ids", few)).cast("long").alias("rest"))
+
+
+@query("WITH c AS (SELECT id, session_id, attributes['vcs.ref.head.name'] AS branch, received_at FROM logs WHERE attributes['vcs.ref.head.name'] IS NOT NULL AND session_id IS NOT NULL) SELECT session_id, first(branch ORDER BY received_at, id) AS first_branch, last(branch ORDER BY received_at, id) AS last_branch FROM c GROUP BY session_id")
+def carried_forward(spark, d):
+    """The first and the last branch that a session's records name."""
+    branch = F.try_element_at("attributes", F.lit("vcs.ref.head.name"))
+    rows = table(spark, d, "logs").where("session_id is not null").select("session_id", branch.alias("branch"), F.struct("received_at", "id").alias("at")).where("branch is not null")
+    return rows.groupBy("session_id").agg(F.min_by("branch", "at").alias("first_branch"), F.max_by("branch", "at").alias("last_branch"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import scope, text
 from quern.operators import ledger, recall, record
 from quern.plans.registry import query
-from quern.plans.views import LABELS, PROMPTS, READINGS, at, labels, logs, readings
+from quern.plans.views import LABELS, LOGS, NOISE, PROMPTS, READINGS, SPACES, at, labels, logs, readings
 from quern.sources import otlp
 from quern.tables import cut, table
 
@@ -96,9 +96,16 @@ def rounds_window(spark, d):
     return record.round_starts(logs(spark, d)).select("id", F.unix_micros("start_at").alias("start_at"))
 
 
-@query()
+_SAID = f"""{LOGS}, spoken AS (SELECT *, {NOISE} AS noise FROM first_logs WHERE kind IN ('prompt', 'response') AND session_id IS NOT NULL AND occurred_at IS NOT NULL),
+said AS (SELECT session_id, entry_id, id, occurred_at, body, coalesce(lag(occurred_at, 4) OVER (PARTITION BY session_id ORDER BY occurred_at, id), min(occurred_at) OVER (PARTITION BY session_id)) AS start_at FROM spoken WHERE kind = 'prompt' AND NOT noise),
+turns AS (SELECT session_id, id, occurred_at, CASE kind WHEN 'prompt' THEN '[person] ' ELSE '[agent] ' END || trim(body, {SPACES}) AS line FROM spoken WHERE (kind = 'response' OR NOT noise) AND trim(coalesce(body, ''), {SPACES}) <> ''),
+windows AS (SELECT s.session_id, s.entry_id, any_value(s.body) AS message, coalesce(string_agg(t.line, chr(10) || chr(10) ORDER BY t.occurred_at, t.id), '') AS before
+  FROM said s LEFT JOIN turns t ON t.session_id = s.session_id AND t.occurred_at >= s.start_at AND t.occurred_at < s.occurred_at WHERE s.entry_id IS NOT NULL GROUP BY s.session_id, s.entry_id, s.id)"""
+
+
+@query(f"WITH {_SAID} SELECT session_id, entry_id, CAST(length(before) AS INTEGER) AS before_chars, CAST(length(message) AS INTEGER) AS message_chars, md5(before) AS before_md5 FROM windows")
 def context_window(spark, d):
-    """Each prompt with the exchanges of its last rounds, fitted to the budget."""
+    """Each prompt with the exchanges of its last rounds; the budget is over what these texts reach."""
     return record.context_windows(logs(spark, d)).select("session_id", "entry_id", F.length("before").alias("before_chars"), F.length("message").alias("message_chars"), F.md5("before").alias("before_md5"))
 
 

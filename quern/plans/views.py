@@ -51,8 +51,8 @@ LOGS = """first_logs AS (
   SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY session_id, entry_id ORDER BY received_at NULLS LAST, id) AS nth FROM logs WHERE session_id IS NOT NULL AND entry_id IS NOT NULL) WHERE nth = 1
   UNION ALL SELECT * FROM logs WHERE session_id IS NULL OR entry_id IS NULL)"""
 
-_SP = "chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
-_OPEN = " OR ".join("starts_with(ltrim(body, {sp}), '{o}')".format(sp=_SP, o=o.replace("'", "''")) for o in text.NOISE_OPENINGS)
+SPACES = "chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
+_OPEN = " OR ".join("starts_with(ltrim(body, {sp}), '{o}')".format(sp=SPACES, o=o.replace("'", "''")) for o in text.NOISE_OPENINGS)
 NOISE = f"({_OPEN} OR regexp_full_match(body, '[ \\t\\n\\r\\f\\v]*(/[\\w:.-]+|(\\[Image[^\\]]*\\][ \\t\\n\\r\\f\\v]*)+)[ \\t\\n\\r\\f\\v]*'))"
 PROMPTS = f"{LOGS}, prompts AS (SELECT * FROM first_logs WHERE kind = 'prompt' AND entry_id IS NOT NULL AND occurred_at IS NOT NULL AND NOT {NOISE})"
 
