@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,6 +147,43 @@ def replay(turns: DataFrame, matched: DataFrame, limit: int = LIMIT) -> DataFram
     return ordered.mapInPandas(fold, TURN)
 
 
+def replay_from(turns: DataFrame, offered: DataFrame, place: Callable[[np.ndarray, int], np.ndarray], limit: int = LIMIT) -> DataFrame:
+    """replay() where every turn of a session has the same candidates: offered has session_id, memory_id.
+
+    place gives the candidates of a prompt their places, least first, ties to the smaller id. The list of a session is
+    one row that the fold reads before its turns and keeps less what was handed, so no turn carries it.
+    """
+    lists = offered.where("session_id is not null and memory_id is not null").groupBy("session_id").agg(F.array_sort(F.collect_set("memory_id")).alias("open"))
+    none = lambda kind: F.lit(None).cast(kind)
+    heads = lists.select("session_id", none("long").alias("prompt_id"), none("timestamp").alias("occurred_at"), F.lit(False).alias("noise"), F.lit(False).alias("silent"), "open", F.lit(0).alias("part"))
+    rows = turns.select("session_id", F.col("prompt_id").cast("long").alias("prompt_id"), "occurred_at", "noise", "silent", none("array<long>").alias("open"), F.lit(1).alias("part"))
+    ordered = rows.where("session_id is not null").unionByName(heads).repartition("session_id").sortWithinPartitions("session_id", "part", "occurred_at", "prompt_id")
+    # a null among longs would reach pandas as a float
+    ordered = ordered.select("session_id", F.coalesce("prompt_id", F.lit(0)).alias("prompt_id"), "noise", "silent", "open", "part")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, left, handed = None, np.empty(0, np.int64), False
+        for pdf in batches:
+            out = []
+            for sid, prompt, noise, silent, ids, part in pdf.itertuples(index=False):
+                if sid != session:
+                    session, left, handed = sid, np.empty(0, np.int64), False
+                if part == 0:
+                    left = np.asarray(ids, np.int64)
+                    continue
+                if noise:
+                    out.append((sid, prompt, "noise", []))
+                    continue
+                form, given = "match" if handed else "opening", []
+                if not silent and len(left):
+                    first = np.lexsort((left, place(left, prompt)))[:limit]
+                    given, left, handed = left[first].tolist(), np.delete(left, first), True
+                out.append((sid, prompt, form, given))
+            yield pd.DataFrame(out, columns=["session_id", "prompt_id", "form", "memory_ids"])
+
+    return ordered.mapInPandas(fold, TURN)
+
+
 def report(handed: DataFrame, statements: DataFrame, labels: DataFrame) -> DataFrame:
     """(measure, of, n): turns, turns handed nothing, statements handed, unscoped ones, and counts per form, kind and label."""
     turns = handed.select(F.lit("turns").alias("measure"), F.lit("").alias("of"), F.lit(1).alias("n"))

@@ -173,11 +173,8 @@ def _turns(spark, d):
 
 def _handed(spark, d):
     """Each turn matched with what its session was handed in fact, folded so that nothing is handed twice."""
-    turns = _turns(spark, d)
-    ids = table(spark, d, "injections").select("session_id", F.explode("memory_ids").alias("memory_id")).distinct()
-    prompts = turns.withColumn("turn", F.row_number().over(record.Window.partitionBy("session_id").orderBy("occurred_at", "prompt_id"))).where("turn <= 3")
-    matched = prompts.join(ids, "session_id").select("prompt_id", "memory_id", (-(F.col("memory_id") * 31 + F.col("prompt_id") * 17) % 101).cast("double").alias("rank"))
-    return recall.replay(turns, matched, 3)
+    offered = table(spark, d, "injections").select("session_id", F.explode("memory_ids").alias("memory_id"))
+    return recall.replay_from(_turns(spark, d), offered, lambda ids, prompt: (ids * 31 + prompt * 17) % 101, 3)
 
 
 @query()

@@ -89,6 +89,30 @@ def test_seen_and_replay(spark):
     assert recall.handed_lines(out).first().line == "a\t1\topening\t1"
 
 
+def test_replay_turns_goes_on_past_the_third_turn(spark, tmp_path):
+    from quern.plans import QUERIES
+
+    body = lambda s, i: "/clear" if (s, i) == ("a", 4) else "say more"
+    logs = [(s, 100 * "abc".index(s) + i, f"{s}{i}", NOW + timedelta(minutes=i), NOW + timedelta(minutes=i), "human", 0, "prompt", None, body(s, i)) for s in "abc" for i in range(1, 9)]
+    spark.createDataFrame(logs, "session_id string, id long, entry_id string, received_at timestamp, occurred_at timestamp, actor string, actor_depth int, kind string, scope_key string, body string").write.parquet(f"{tmp_path}/logs.parquet")
+    given = [("a", list(range(20, 34))), ("a", [20, 5, None]), ("b", [7, 9]), ("c", []), (None, [1])]
+    spark.createDataFrame(given, "session_id string, memory_ids array<long>").write.parquet(f"{tmp_path}/injections.parquet")
+    got = {r.prompt_id: (r.form, r.memory_ids) for r in QUERIES["replay_turns"](spark, str(tmp_path)).collect()}
+    want = {}
+    for s, left in (("a", {*range(20, 34), 5}), ("b", {7, 9}), ("c", set())):
+        handed = False
+        for i in range(1, 9):
+            prompt = 100 * "abc".index(s) + i
+            if (s, i) == ("a", 4):
+                want[prompt] = ("noise", "")
+                continue
+            ids = [] if prompt % 11 == 0 else sorted(left, key=lambda m: ((m * 31 + prompt * 17) % 101, m))[:3]
+            want[prompt] = ("match" if handed else "opening", ",".join(map(str, ids)))
+            left, handed = left - set(ids), handed or bool(ids)
+    assert got == want
+    assert all(want[i][1] for i in (5, 6))
+
+
 def test_tiles_give_all_pairs_once(spark):
     left = spark.createDataFrame([(i, "x" if i % 3 else None, angle(0.5 + i / 100)) for i in range(30)], "left_id long, b string, left_vector array<float>")
     right = spark.createDataFrame([(i, "x", angle(0.5 + i / 100) if i else [0.0] * 8) for i in range(25)], "right_id long, b string, right_vector array<float>")
