@@ -35,7 +35,7 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_similar(spark: SparkSession, d: str) -> DataFrame:
-    found = neighbours.similar(table(spark, d, "memories"))
+    found = neighbours.nearest(table(spark, d, "memories"))
     return found.select(F.col("id").alias("memory_id"), F.col("other").alias("other_id"), F.round("cosine", 6).alias("cosine"), "place")
 
 

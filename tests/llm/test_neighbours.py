@@ -44,6 +44,30 @@ def test_against_brute_force(spark, bucket_rows, block_rows):
     assert len(found) >= 0.99 * len(want)
 
 
+def with_copies():
+    data = rows(n=300)
+    one = data[7]
+    data += [(1000 + i, one[1], one[2], [None, "x", "y"][i % 3], one[4], "", "") for i in range(60)]
+    return data + [(2000, "0", "a", None, [0.0] * 96, "", ""), (2001, "0", "a", None, None, "", ""), (2002, "0", "a", "x", one[4][:50], "", ""), (2003, None, "a", None, one[4], "", "")]
+
+
+@pytest.mark.parametrize("tile", [neighbours.TILE, 40])
+def test_nearest_is_the_whole_top_ten(spark, tile):
+    data = with_copies()
+    found = {(r.id, r.other): r.place for r in neighbours.nearest(spark.createDataFrame(data, SCHEMA), tile=tile).collect()}
+    assert found == brute(data, least=-2)
+
+
+def test_similar_query_has_no_least_cosine(spark, tmp_path):
+    from quern.llm.queries import QUERIES
+
+    data = with_copies()
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/memories.parquet")
+    found = QUERIES["p4_similar"](spark, str(tmp_path)).collect()
+    assert {(r.memory_id, r.other_id): r.place for r in found} == brute(data, least=-2)
+    assert min(r.cosine for r in found) < 0.8
+
+
 def test_recall_at_the_threshold(spark):
     rng = np.random.default_rng(4)
     data = []
