@@ -142,9 +142,44 @@ def hierarchy(links: DataFrame, node: str = "id", parent: str = "superseded_by",
     return found.withColumnRenamed("link", "parent")
 
 
+def open_hierarchy(links: DataFrame, node: str = "id", parent: str = "superseded_by", **how: int) -> DataFrame:
+    """(id, parent, root, depth, path, beyond): as hierarchy() with paths, following the ways into circles too.
+
+    depth stays -1 there, but path goes on to the root, the least id on the circle, and beyond lists the members of
+    the circle that come after the root before the way meets itself; it is empty for all other nodes. path and beyond
+    together are all that a node is below, nearest first.
+    """
+    found = cut(hierarchy(links, node, parent, with_paths=True, **how), "found")
+    ways = cut(_opened(found.where("depth = -1"), **how), "ways")
+    rings = _members(found, ways).select("root", "members")
+    left = F.col("length") - F.size(F.array_intersect("path", "members"))
+    turning = ways.select("id", "path", "root").join(rings, "root").withColumn("length", F.size("members"))
+    turning = turning.select("id", F.col("path").alias("open"), F.slice("members", F.lit(2), left).alias("rest"))
+    nothing = F.array().cast("array<long>")
+    return found.join(turning, "id", "left").select("id", "parent", "root", "depth", F.coalesce("open", "path").alias("path"), F.coalesce("rest", nothing).alias("beyond"))
+
+
 def descendants(found: DataFrame) -> DataFrame:
-    """(ancestor, descendant, steps): every pair of a node and one below it, from hierarchy(with_paths=True)."""
-    return found.select(F.col("id").alias("descendant"), F.posexplode("path").alias("steps", "ancestor")).where("steps > 0").select("ancestor", "descendant", F.col("steps").cast("long").alias("steps"))
+    """(ancestor, descendant, steps): every pair of a node and one below it, from open_hierarchy().
+
+    On a circle each member is below each other one. From hierarchy(with_paths=True) the pairs of nodes whose way runs
+    into a circle are missing, as it gives them no path.
+    """
+    above = F.concat("path", "beyond") if "beyond" in found.columns else F.col("path")
+    return found.select(F.col("id").alias("descendant"), F.posexplode(above).alias("steps", "ancestor")).where("steps > 0").select("ancestor", "descendant", F.col("steps").cast("long").alias("steps"))
+
+
+def _opened(turning: DataFrame, **how: int) -> DataFrame:
+    """hierarchy() with paths of the rows whose way turns, each circle cut open at its least id."""
+    opened = turning.select("id", F.when(F.col("id") != F.col("root"), F.col("parent")).alias("parent"))
+    return hierarchy(opened, "id", "parent", with_paths=True, **how)
+
+
+def _members(found: DataFrame, ways: DataFrame) -> DataFrame:
+    """(root, length, members) of each circle: the way of the node that the least id links to."""
+    start = found.where("depth = -1 and id = root").select(F.col("parent").alias("id"), F.col("root").alias("start"))
+    members = F.concat(F.array("start"), F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))))
+    return ways.join(start, "id").select(F.col("start").alias("root"), F.size(members).cast("long").alias("length"), members.alias("members"))
 
 
 def circles(links: DataFrame, node: str = "id", parent: str = "superseded_by", **how: int) -> DataFrame:
@@ -153,8 +188,4 @@ def circles(links: DataFrame, node: str = "id", parent: str = "superseded_by", *
     The rows whose way turns are solved again with each circle cut open at its least id.
     """
     found = cut(hierarchy(links, node, parent, **how).where("depth = -1"), "turning")
-    opened = found.select("id", F.when(F.col("id") != F.col("root"), F.col("parent")).alias("parent"))
-    ways = hierarchy(opened, "id", "parent", with_paths=True, **how)
-    start = found.where("id = root").select(F.col("parent").alias("id"), F.col("root").alias("start"))
-    members = F.concat(F.array("start"), F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))))
-    return ways.join(start, "id").select(F.col("start").alias("root"), F.size(members).cast("long").alias("length"), members.alias("members"))
+    return _members(found, _opened(found, **how))

@@ -19,12 +19,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
-    found = forest.hierarchy(_links(spark, d), with_paths=True)
+    found = forest.open_hierarchy(_links(spark, d))
     return found.select(F.col("id").alias("memory_id"), F.col("root").alias("root_id"), "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
-    found = forest.descendants(forest.hierarchy(_links(spark, d), with_paths=True))
+    found = forest.descendants(forest.open_hierarchy(_links(spark, d)))
     return found.select(F.col("ancestor").alias("memory_id"), F.col("descendant").alias("retired_id"), "steps")
 
 

@@ -56,6 +56,34 @@ def test_circles_and_descendants(spark):
     assert below == {(2, 1, 1), (3, 1, 2), (3, 2, 1), (2, 4, 1), (3, 4, 2)}
 
 
+@pytest.mark.parametrize("fragment_rows,quotient_rows", [(100_000, 100_000), (20, 60)])
+def test_ways_into_circles_are_followed(spark, fragment_rows, quotient_rows):
+    rows = cases()
+    parent = {i: p for i, p in rows if i is not None and i != 2003} | {2003: 2000}
+    ways, below = {}, set()
+    for i, (root, depth, _) in brute(rows).items():
+        way = [i]
+        while (p := parent[way[-1]]) in parent and p not in way:
+            way.append(p)
+        ways[i] = (root, depth, way[: way.index(root) + 1])
+        below |= {(a, i, n) for n, a in enumerate(way) if n}
+    found = forest.open_hierarchy(spark.createDataFrame(rows, "id long, superseded_by long"), fragment_rows=fragment_rows, quotient_rows=quotient_rows).cache()
+    assert {r.id: (r.root, r.depth, r.path) for r in found.collect()} == ways
+    got = forest.descendants(found).collect()
+    assert {(r.ancestor, r.descendant, r.steps) for r in got} == below and len(got) == len(below)
+
+
+def test_descendants_query_keeps_trees_on_circles(spark, tmp_path):
+    from quern.plans import QUERIES
+
+    rows = [(5, 6), (6, 5), (2, 6), (1, 2), (9, 9), (8, None), (7, 8)]
+    spark.createDataFrame(rows, "id long, superseded_by long").write.parquet(f"{tmp_path}/memories.parquet")
+    below = {tuple(r) for r in QUERIES["p1_descendants"](spark, str(tmp_path)).collect()}
+    assert below == {(6, 5, 1), (5, 6, 1), (6, 2, 1), (5, 2, 2), (2, 1, 1), (6, 1, 2), (5, 1, 3), (8, 7, 1)}
+    paths = {r.memory_id: r.path for r in QUERIES["p1_paths"](spark, str(tmp_path)).collect()}
+    assert paths == {5: "5", 6: "6/5", 2: "2/6/5", 1: "1/2/6/5", 9: "9", 8: "8", 7: "7/8"}
+
+
 def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([], "id long, superseded_by long, root string, path string")
     assert forest.hierarchy(df).count() == 0
