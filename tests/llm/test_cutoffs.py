@@ -34,6 +34,22 @@ def test_exact_against_brute_force(spark, bracket_rows, sketch_k):
     assert sorted(r.id for r in kept.collect()) == sorted(i for i, k, s in rows if want.get(k, (0, None))[1] is not None and s is not None and want[k][1] <= s <= 1)
 
 
+def test_two_tied_scores_at_the_border_end(spark, monkeypatch):
+    cut, tables = cutoffs.cut, []
+
+    def counted(df, name):
+        tables.append(name)
+        assert len(tables) < 15, "it goes on without end"
+        return cut(df, name)
+
+    monkeypatch.setattr(cutoffs, "cut", counted)
+    rows = [(i, "tied", 0.5 if i % 2 else 0.75) for i in range(400)] + [(1000 + i, "near", 0.5 if i % 2 else 0.75) for i in range(399)] + [(2000 + i, "flat", i / 400) for i in range(400)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    targets = {"tied": 500, "near": 502, "flat": 500}
+    found = cutoffs.cutoffs(df, spark.createDataFrame([*targets.items()], "kind string, keep_permille int"), bracket_rows=20).collect()
+    assert {r.kind: (r.n, r.cutoff, r.kept) for r in found} == brute([tuple(r)[:3] for r in df.collect()], targets)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     goals = spark.createDataFrame([("a", 5)], "kind string, keep_permille int")
