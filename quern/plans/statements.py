@@ -107,7 +107,7 @@ def match_topk(spark, d):
 met AS (SELECT prompt_id, m.id AS memory_id, {WORTH} AS rank, created_at FROM asks JOIN memories m ON {WITHIN.format(a='ask', s='m.scope_key')} WHERE {LIVE} AND (until_moment IS NULL OR until_moment > {NOW_SQL}))
 SELECT prompt_id, memory_id, round(rank, 6) AS rank, place FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY rank DESC, created_at DESC, memory_id) AS place FROM met) WHERE place <= 10""")
 def opening_list(spark, d):
-    asks = _memories(spark, d).where("id % 40 = 0").select(F.col("id").alias("prompt_id"), F.col("scope_key").alias("ask"))
+    asks = _memories(spark, d).select(F.col("id").alias("prompt_id"), F.col("scope_key").alias("ask"))
     return recall.opening(asks, _memories(spark, d), at(NOW), 10).withColumn("rank", F.round("rank", 6))
 
 
@@ -115,7 +115,7 @@ def opening_list(spark, d):
 met AS (SELECT prompt_id, m.id AS memory_id, m.said_at FROM asks JOIN memories m ON (m.scope_key IS NULL OR {WITHIN.format(a='ask', s='m.scope_key')}) AND m.kind = k AND m.said_at < s WHERE {LIVE})
 SELECT prompt_id, memory_id, number FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY said_at DESC, memory_id DESC) AS number FROM met) WHERE number <= 40""")
 def standing_candidates(spark, d):
-    asks = _memories(spark, d).where("id % 20 = 0 and said_at is not null").select(F.col("id").alias("prompt_id"), F.col("scope_key").alias("ask"), F.array("kind").alias("kinds"), "said_at")
+    asks = _memories(spark, d).where("said_at is not null").select(F.col("id").alias("prompt_id"), F.col("scope_key").alias("ask"), F.array("kind").alias("kinds"), "said_at")
     return recall.standing(asks, _memories(spark, d))
 
 
@@ -193,7 +193,7 @@ def retire_guard(spark, d):
 @query(f"SELECT id, CASE WHEN id % 3 = 0 THEN id + 1 END AS superseded_by, CASE WHEN id % 4 = 0 THEN 'state' END AS ended_reason FROM memories WHERE {LIVE} AND id % 2 = 0")
 def event_fold(spark, d):
     """Events folded into statements: retired and restored, ended and reopened, the last one counting."""
-    m = _memories(spark, d).where(memory.live()).where("id % 2 = 0")
+    m = _memories(spark, d).where(memory.live())
     base = m.select(F.col("id").alias("memory_id"))
     event = lambda rows, seq, what, **v: rows.select(F.lit(seq).cast("long").alias("seq"), at(THEN).alias("at"), "memory_id", F.lit(what).alias("what"), v.get("survivor", F.lit(None)).cast("long").alias("survivor"), v.get("reason", F.lit(None)).cast("string").alias("reason"), F.lit("r").alias("run"), F.lit(None).cast("timestamp").alias("until_moment"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model"))
     events = event(base, 1, "retired", survivor=F.col("memory_id") + 1).union(event(base.where("memory_id % 3 <> 0"), 2, "restored")).union(event(base, 3, "ended", reason=F.lit("event"))).union(event(base.where("memory_id % 4 <> 0"), 4, "reopened")).union(event(base.where("memory_id % 4 = 0"), 5, "ended", reason=F.lit("state")))

@@ -113,6 +113,17 @@ def test_replay_turns_goes_on_past_the_third_turn(spark, tmp_path):
     assert all(want[i][1] for i in (5, 6))
 
 
+def test_queries_over_statements_ask_for_all_of_them(spark, tmp_path):
+    from quern.plans import QUERIES
+
+    rows = table(spark, [statement(i, scope_key="x") for i in range(1, 13)]).withColumn("ended_reason", F.lit(None).cast("string"))
+    rows.write.parquet(f"{tmp_path}/memories.parquet")
+    got = {n: QUERIES[n](spark, str(tmp_path)).collect() for n in ("opening_list", "standing_candidates", "event_fold")}
+    assert {(r.prompt_id, r.memory_id, r.place) for r in got["opening_list"]} == {(p, m, m) for p in range(1, 13) for m in range(1, 11)}
+    assert {(r.prompt_id, r.memory_id, r.number) for r in got["standing_candidates"]} == {(p, m, p - m) for p in range(1, 13) for m in range(1, p)}
+    assert {(r.id, r.superseded_by, r.ended_reason) for r in got["event_fold"]} == {(i, None if i % 3 else i + 1, None if i % 4 else "state") for i in range(1, 13)}
+
+
 def test_tiles_give_all_pairs_once(spark):
     left = spark.createDataFrame([(i, "x" if i % 3 else None, angle(0.5 + i / 100)) for i in range(30)], "left_id long, b string, left_vector array<float>")
     right = spark.createDataFrame([(i, "x", angle(0.5 + i / 100) if i else [0.0] * 8) for i in range(25)], "right_id long, b string, right_vector array<float>")
