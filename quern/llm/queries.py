@@ -18,12 +18,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return cutoffs.kept(rows, cutoffs.cutoffs(rows, table(spark, d, "kind_targets"))).select(F.col("id").alias("memory_id"))
 
 
-def _plan(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.allocation(cut(sampling.strata(table(spark, d, "pairs")), "strata"), table(spark, d, "sample_targets"))
+def _plan(spark: SparkSession, d: str, usable: DataFrame | None = None) -> DataFrame:
+    usable = sampling.usable_pairs(table(spark, d, "pairs")) if usable is None else usable
+    return sampling.allocation(cut(sampling.strata_of(usable), "strata"), table(spark, d, "sample_targets"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _plan(spark, d).where("available < quota").select("form", "kind", "scoped")
+    return _plan(spark, d).where("short > 0").select("form", "kind", "scoped")
 
 
 def p3_allocation(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +32,8 @@ def p3_allocation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.draw(table(spark, d, "pairs"), cut(_plan(spark, d), "plan"))
+    usable = cut(sampling.usable_pairs(table(spark, d, "pairs")), "usable")
+    return sampling.drawn_of(usable, cut(_plan(spark, d, usable), "plan"))
 
 
 def p4_similar(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +87,19 @@ quotas AS (
   SELECT t.form, t.kind, t.scoped, CAST(greatest(t.minimum, (t.share_permille * ((SELECT count(*) FROM usable WHERE nth = 1) // 5)) // 1000) AS BIGINT) AS quota, coalesce(l.available, 0) AS available
   FROM sample_targets t LEFT JOIN leaf l ON l.form = t.form AND l.kind = t.kind AND l.scoped = t.scoped)"""
 
+
+
+def _passed_on(source: str, name: str, within: str) -> str:
+    """SQL of one step of passing unmet quota on, from the table source to the table name, in column name."""
+    part = f"PARTITION BY {within}" if within else ""
+    along = f"OVER ({part} ORDER BY form, kind, scoped ROWS UNBOUNDED PRECEDING)"
+    return f"""{name}_a AS (SELECT *, available - taken AS room, least(sum(unmet) OVER ({part}), sum(available - taken) OVER ({part})) AS moved, sum(available - taken) OVER ({part}) AS space FROM {source}),
+{name}_b AS (SELECT *, CASE WHEN space > 0 THEN moved * room // space ELSE 0 END AS share FROM {name}_a),
+{name}_c AS (SELECT *, moved - sum(share) OVER ({part}) AS rest, room - share AS spare FROM {name}_b),
+{name}_d AS (SELECT *, share + greatest(least(rest - (sum(spare) {along} - spare), spare), 0) AS {name}, greatest(least(moved - (sum(unmet) {along} - unmet), unmet), 0) AS settled FROM {name}_c),
+{name}_e AS (SELECT * EXCLUDE (room, moved, space, share, rest, spare, settled, unmet, taken), unmet - settled AS unmet, taken + {name} AS taken FROM {name}_d)"""
+
+
 NEAREST = """vec AS (SELECT id, embedding_model, kind, scope_key, CAST(embedding AS DOUBLE[]) AS e FROM memories WHERE embedding IS NOT NULL AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
 compared AS (
   SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.e, b.e) AS cosine FROM vec a JOIN vec b
@@ -139,5 +154,8 @@ SQL = {
     "p6_found": f"WITH {TALK} SELECT session_id FROM verdict WHERE reason <> ''",
     "p6_sessions": f"WITH {TALK} SELECT session_id, reason, messages FROM verdict",
     "p6_conversations": f"WITH {TALK} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY occurred_at, id) AS turn, role, id AS log_id, body FROM message WHERE session_id IN (SELECT session_id FROM verdict WHERE reason = '')",
+    "p3_allocation": f"""WITH {LEAVES}, start AS (SELECT *, least(quota, available) AS own, least(quota, available) AS taken, quota - least(quota, available) AS unmet FROM quotas),
+      {_passed_on('start', 'from_siblings', 'form, kind')}, {_passed_on('from_siblings_e', 'from_cousins', 'form')}, {_passed_on('from_cousins_e', 'from_others', '')}
+      SELECT form, kind, scoped, quota, available, own, CAST(from_siblings AS BIGINT) AS from_siblings, CAST(from_cousins AS BIGINT) AS from_cousins, CAST(from_others AS BIGINT) AS from_others, CAST(taken AS BIGINT) AS take, greatest(quota - available, 0) AS short FROM from_others_e""",
     "p3_found": f"WITH {LEAVES} SELECT form, kind, scoped FROM quotas WHERE available < quota",
 }
