@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import forest, panes
-from quern.tables import table
+from quern.sources.store import Store
+from quern.streaming import ingest
+from quern.tables import own_path, streamed, table
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
@@ -38,8 +40,17 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return panes.first_arrivals(logs, "occurred_at")
 
 
+def _windows(spark: SparkSession, d: str, size: int) -> DataFrame:
+    """The last counts of each window of that size every hour, as pane_stream emits them over the record."""
+    logs = streamed(spark, f"{d}/logs.parquet", ["id", "session_id", "entry_id", "received_at", "occurred_at"]).where("session_id is not null")
+    held = Store(spark, own_path(spark, "panes"))
+    ingest.pane_stream(logs, ["session_id"], held, "windows", f"{held.root}/checkpoint", size=size, slide=panes.HOUR).awaitTermination()
+    return ingest.last_windows(held, "windows", ["session_id"])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return panes.panes(_records(spark, d), ["session_id"]).where("late > 0").select("session_id", F.col("pane").alias("hour_epoch"))
+    """Hours that a late record changed: windows of one pane."""
+    return _windows(spark, d, panes.HOUR).where("late > 0").select("session_id", F.col("window_start").alias("hour_epoch"))
 
 
 def p5_panes(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +59,8 @@ def p5_panes(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windows of three hours every hour, composed of the hour panes."""
-    return panes.windows(panes.panes(_records(spark, d), ["session_id"]), ["session_id"], size=3 * panes.HOUR, slide=panes.HOUR)
+    found = _windows(spark, d, 3 * panes.HOUR)
+    return found.select("session_id", "window_start", (F.col("records") - F.col("late")).alias("on_time"), "late", "dropped")
 
 
 def p5_revisions(spark: SparkSession, d: str) -> DataFrame:
@@ -93,5 +105,8 @@ SQL = {
     "p1_circles": f"WITH {WALK} SELECT root_id, CAST(len(path) AS BIGINT) AS length, array_to_string(path, '/') AS members FROM ended WHERE depth = -1 AND memory_id = root_id",
     "p5_found": f"WITH {FIRST_ARRIVALS} SELECT session_id, pane AS hour_epoch FROM pane_counts WHERE late > 0",
     "p5_panes": f"WITH {FIRST_ARRIVALS} SELECT session_id, pane AS hour_epoch, on_time, late, dropped FROM pane_counts",
+    "p5_revisions": f"""WITH {FIRST_ARRIVALS}, told AS (SELECT session_id, pane, behind, pane + 3900 AS closes, behind / 1000000.0 + pane + 3600 AS arrived FROM timed WHERE behind IS NULL OR behind <= 86400000000),
+      changes AS (SELECT session_id, pane, CASE WHEN behind IS NULL OR behind <= 300000000 THEN closes ELSE closes + CAST(ceil((ceil(arrived) - closes) / 3600.0) AS BIGINT) * 3600 END AS emitted_at, count(*) AS changed FROM told GROUP BY ALL)
+      SELECT session_id, pane AS hour_epoch, emitted_at, CAST(sum(changed) OVER (PARTITION BY session_id, pane ORDER BY emitted_at) AS BIGINT) AS records FROM changes""",
     "p5_windows": f"WITH {FIRST_ARRIVALS} SELECT session_id, pane - back AS window_start, CAST(sum(on_time) AS BIGINT) AS on_time, CAST(sum(late) AS BIGINT) AS late, CAST(sum(dropped) AS BIGINT) AS dropped FROM pane_counts, (VALUES (0), (3600), (7200)) AS v(back) GROUP BY ALL",
 }

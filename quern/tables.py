@@ -18,6 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else df
 
 
+def streamed(spark: SparkSession, path: str, columns: list[str] | None = None, files_per_trigger: int | None = None) -> DataFrame:
+    """The Parquet files at path as a stream; path is a folder or a single file. Timestamps are read as UTC instants."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    one = files.exists(where) and files.getFileStatus(where).isFile()
+    rows = spark.read.parquet(path)
+    schema = rows.select(*columns).schema if columns else rows.schema
+    source = spark.readStream.schema(schema)
+    if files_per_trigger:
+        source = source.option("maxFilesPerTrigger", files_per_trigger)
+    # streams read folders: of a single file a pattern that matches it only
+    stream = source.parquet(f"{path[:-1]}[{path[-1]}]" if one else path)
+    plain = [f.name for f in schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
+    return stream.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else stream
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one of this machine in local mode only."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
