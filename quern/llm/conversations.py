@@ -1,13 +1,15 @@
 """Conversations put together from message rows, as a streaming query with keyed state.
 
-Rows stream in by arrival. The state of a key buffers the records of its sessions, in any order of event time, until
-the watermark says that a session has been idle long enough; then it is ordered, validated and emitted, and its state
-goes. At the end of a bounded input a mark that is later than every timeout closes what is still open.
+Rows stream in by arrival, in several micro-batches. A key is a shard of the record by session and entry, so that
+re-sends meet and a session of any share of the rows is spread over all shards, with nothing known of the input before
+it comes. The state of a shard buffers its rows, in any order of event time; a new batch is only appended to it. When
+the watermark says that a session's rows there have been idle long enough they are reduced to first arrivals and
+emitted as messages, and leave the state. The messages of a session are composed by slices of time: a slice is reduced
+to its counts and its first and last speaker, which compose to the verdict over the whole session.
 
-A key is a shard of many small sessions, so that its state is handled by columns. A session of many rows is spread
-over shards by its entry ids: re-sends still meet, and no task holds it whole. Such a session is emitted in parts, and
-the parts are composed by slices of time: a slice is reduced to its counts and its first and last speaker, which
-compose to the same verdict as the whole.
+No row is ever too late: rows carry no watermark themselves, a sample of clock rows does. Where a row comes after
+its session was emitted from the shard, the second emission tells, and that session is put together from the record
+again. At the end of a bounded input a mark later than every timeout closes what is still open.
 
 The watermark is on received_at, the clock of the receiver, since occurred_at comes from clocks that may be wrong.
 """
@@ -15,55 +17,71 @@ The watermark is on received_at, the clock of the receiver, since occurred_at co
 from __future__ import annotations
 
 import io
+import time
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from quern.tables import cut, own_path
+from quern.operators import panes
+from quern.tables import cut, own_path, streamed
 
 ROLES = {"human": "user", "agent": "assistant", "system": "system"}
 MESSAGE_KINDS = ("prompt", "response", "system")
-#: Rows of a session beyond which it is spread over shards; rows of a shard; seconds of a slice of a spread session.
-SPREAD_ROWS = 20_000
-SHARD_ROWS = 25_000
+#: Shards for each shuffle partition; seconds of a slice of a session.
+SHARDS = 4
 SLICE = 3600
-#: Seconds without a record after which a session is closed, and by which the watermark trails.
-IDLE = 30 * 86400
+#: Seconds without a row after which a session's rows in a shard are emitted, and by which the watermark trails.
+IDLE = 2 * 86400
 DELAY = 600
+#: Micro-batches that a bounded input is read in; one in so many rows is a clock row too.
+TRIGGERS, CLOCK = 4, 64
+#: The end mark, and the latest time a clock row tells; both within what Arrow's nanoseconds hold.
+END, LATEST = "2260-01-01", "2250-01-01"
 NOTHING = -(2**63)
 USER, ASSISTANT, SYSTEM, NONE = 0, 1, 2, 3
 NAMES = ["user", "assistant", "system", None]
 REASONS = ["", "actor or time missing", "no user", "no assistant", "does not start with the user", "user without reply"]
-BUFFER = ["session_id", "entry_id", "received", "id", "occurred", "role", "message", "spread", "arrived"]
+BUFFER = ["session_id", "entry_id", "received", "id", "occurred", "role", "message", "arrived"]
 COLUMNS = ["id", "session_id", "entry_id", "received_at", "occurred_at", "actor", "actor_depth", "kind", "body"]
-EMITTED = "session_id string, part boolean, id long, occurred long, role int, turn long, reason int, messages long"
+EMITTED = "session_id string, shard int, closed long, id long, occurred long, role int"
+#: The store of state that grows beyond memory.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _prepared(rows: DataFrame, spread: DataFrame, shards: int) -> DataFrame:
+def _told() -> tuple[Column, Column]:
+    """Whether a row is a message, and the number of its role."""
     white = F.regexp_replace("body", r"(?U)[\s\x1c-\x1f\x85]+", "") == ""
     message = F.col("kind").isin(*MESSAGE_KINDS) & (F.coalesce("actor_depth", F.lit(0)) == 0) & F.col("body").isNotNull() & ~white
     role = F.lit(NONE)
     for actor, name in ROLES.items():
         role = F.when(F.col("actor") == actor, F.lit(NAMES.index(name))).otherwise(role)
-    micros = lambda c: F.coalesce(F.unix_micros(c), F.lit(NOTHING))
-    part = F.pmod(F.xxhash64(F.coalesce(F.col("entry_id"), F.col("id").cast("string"))), F.coalesce("parts", F.lit(1)))
-    return rows.join(spread, "session_id", "left").select(
-        F.pmod(F.xxhash64("session_id", part), F.lit(shards)).cast("int").alias("shard"),
+    return F.coalesce(message, F.lit(False)), role.cast("int")
+
+
+def _prepared(rows: DataFrame, shards: int) -> DataFrame:
+    message, role = _told()
+    told = F.when(F.col("received_at").isNotNull(), F.least(F.col("received_at"), F.lit(LATEST).cast("timestamp")))
+    ready = rows.select(
+        F.pmod(F.xxhash64("session_id", F.coalesce(F.col("entry_id"), F.col("id").cast("string"))), F.lit(shards)).cast("int").alias("shard"),
         "session_id",
         "entry_id",
         F.coalesce(F.unix_micros("received_at"), F.lit(-NOTHING - 1)).alias("received"),
         F.coalesce("id", F.lit(NOTHING)).alias("id"),
-        micros("occurred_at").alias("occurred"),
-        role.cast("int").alias("role"),
-        F.coalesce(message, F.lit(False)).alias("message"),
-        F.col("parts").isNotNull().alias("spread"),
-        F.coalesce(F.unix_seconds("arrived_at"), F.lit(0)).alias("arrived"),
-        "arrived_at",
+        F.coalesce(F.unix_micros("occurred_at"), F.lit(NOTHING)).alias("occurred"),
+        role.alias("role"),
+        message.alias("message"),
+        F.coalesce(F.unix_seconds(told), F.lit(0)).alias("arrived"),
+        F.when(F.col("mark"), F.col("received_at")).otherwise(told).alias("told"),
+        "mark",
     )
+    # a clock row is a copy that only has a time; the row itself has none, so it is behind no watermark
+    clock = F.coalesce(F.col("mark"), F.pmod(F.xxhash64("id"), F.lit(CLOCK)) == 0)
+    copies = F.explode(F.when(F.coalesce("mark", F.lit(False)), F.array(F.lit(True))).when(clock, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+    ready = ready.withColumn("clock", copies)
+    return ready.select("shard", *[F.when(~F.col("clock"), F.col(c)).alias(c) for c in BUFFER], F.when(F.col("clock"), F.col("told")).alias("arrived_at"))
 
 
 def first_rows(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -73,134 +91,102 @@ def first_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([known, pdf[~keyed]], ignore_index=True)
 
 
-def verdicts(pdf: pd.DataFrame, with_messages: bool) -> pd.DataFrame:
-    """A row per session of the buffered rows, or also one per message; spread sessions give their messages as parts."""
-    pdf = first_rows(pdf)
-    names, code = np.unique(pdf["session_id"].to_numpy(str), return_inverse=True)
-    spread = np.zeros(len(names), bool)
-    spread[code[pdf["spread"].to_numpy(bool)]] = True
-    take = pdf["message"].to_numpy(bool)
-    s, when, ids, role = code[take], pdf["occurred"].to_numpy()[take], pdf["id"].to_numpy()[take], pdf["role"].to_numpy()[take]
-    order = np.lexsort((ids, when, s))
-    s, when, ids, role = s[order], when[order], ids[order], role[order]
-    count = lambda of: np.bincount(s[of], minlength=len(names))
-    total = count(np.ones(len(s), bool))
-    missing = count((role == NONE) | (when == NOTHING)) > 0
-    users, assistants = count(role == USER), count(role == ASSISTANT)
-    talk = role != SYSTEM
-    ts, tr = s[talk], role[talk]
-    first = np.r_[True, ts[1:] != ts[:-1]][: len(ts)]
-    last = np.r_[ts[1:] != ts[:-1], True][: len(ts)]
-    wrong_start = np.zeros(len(names), bool)
-    wrong_start[ts[first & (tr != USER)]] = True
-    unanswered = np.zeros(len(names), bool)
-    unanswered[ts[(tr == USER) & (last | np.r_[tr[1:] == USER, False][: len(tr)])]] = True
-    reason = np.select([missing, users == 0, assistants == 0, wrong_start, unanswered], [1, 2, 3, 4, 5], 0)
-    whole = ~spread
-    out = [pd.DataFrame({"session_id": names, "part": spread, "id": NOTHING, "occurred": NOTHING, "role": NONE, "turn": 0, "reason": np.where(whole, reason, -1), "messages": np.where(whole, total, 0)})]
-    shown = np.ones(len(s), bool) if with_messages else spread[s]
-    if shown.any():
-        start = np.searchsorted(s, s)
-        turn = np.arange(len(s)) - start + 1
-        out.append(pd.DataFrame({"session_id": names[s[shown]], "part": spread[s[shown]], "id": ids[shown], "occurred": when[shown], "role": role[shown], "turn": turn[shown], "reason": -1, "messages": 0}))
-    return pd.concat(out, ignore_index=True)
-
-
 def _packed(pdf: pd.DataFrame) -> bytes:
     out = io.BytesIO()
     pdf[BUFFER].to_parquet(out, index=False, compression="zstd")
     return out.getvalue()
 
 
-def stateful(idle: int, with_messages: bool):
-    """The state function of a shard: buffers rows, emits the sessions whose timeout has passed, keeps the others."""
+def stateful(idle: int):
+    """The state function of a shard: appends rows unread, and where a timeout has passed emits idle sessions and keeps the others.
+
+    The state is the packed batches and the soonest time at which a session can be idle, which later rows only put off.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = [pd.read_parquet(io.BytesIO(state.get[0]))] if state.exists else []
-        held += [b[BUFFER] for b in batches if len(b)]
-        rows = pd.concat(held, ignore_index=True) if held else None
-        if rows is not None:
-            rows = rows[rows["id"] != NOTHING]
-        if rows is None or not len(rows):
-            if state.exists:
-                state.remove()
-            return
-        if state.hasTimedOut:
-            now = state.getCurrentWatermarkMs() / 1000
+        blobs, soonest = state.get if state.exists else ([], None)
+        if not state.hasTimedOut:
+            new = [b[b["id"].notna()] for b in batches]
+            new = [b for b in new if len(b)]
+            if new:
+                rows = pd.concat(new, ignore_index=True)
+                rows = rows.astype({"received": "int64", "id": "int64", "occurred": "int64", "role": "int32", "message": "bool", "arrived": "int64"})
+                due = int(rows.groupby("session_id")["arrived"].max().min()) + idle
+                soonest = due if soonest is None else min(soonest, due)
+                blobs = [*blobs, _packed(rows)]
+        else:
+            rows = first_rows(pd.concat([pd.read_parquet(io.BytesIO(b)) for b in blobs], ignore_index=True))
+            now = state.getCurrentWatermarkMs()
             ends = rows.groupby("session_id")["arrived"].transform("max") + idle
-            closed = (ends <= now).to_numpy()
+            closed = (ends <= now / 1000).to_numpy()
             if closed.any():
-                yield verdicts(rows[closed], with_messages)
+                done = rows[closed]
+                there = done[["session_id"]].drop_duplicates().assign(id=NOTHING, occurred=NOTHING, role=NONE)
+                out = pd.concat([there, done.loc[done["message"], ["session_id", "id", "occurred", "role"]]], ignore_index=True)
+                # any number that no other emission of the shard has
+                yield out.assign(shard=key[0], closed=time.time_ns())[["session_id", "shard", "closed", "id", "occurred", "role"]]
             rows = rows[~closed]
-            if not len(rows):
+            blobs = [_packed(rows)] if len(rows) else []
+            soonest = int(ends[~closed].min()) if len(rows) else None
+        if not blobs:
+            if state.exists:
                 state.remove()
-                return
-        rows = first_rows(rows)  # a re-send need not be kept
-        state.update((_packed(rows),))
-        soonest = int(rows.groupby("session_id")["arrived"].max().min()) + idle
+            return
+        state.update((blobs, soonest))
         state.setTimeoutTimestamp(max(soonest * 1000, state.getCurrentWatermarkMs() + 1))
 
     return run
 
 
-def crowded(logs: DataFrame, spread_rows: int = SPREAD_ROWS) -> DataFrame:
-    """(session_id, parts): the sessions of more rows than that; there are at most rows / spread_rows of them."""
-    sizes = logs.where("session_id is not null").groupBy("session_id").agg(F.count("*").alias("n"))
-    return sizes.where(F.col("n") > spread_rows).select("session_id", F.ceil(F.col("n") / spread_rows).cast("int").alias("parts"))
-
-
-def conversation_stream(rows: DataFrame, spread: DataFrame, shards: int, *, idle: int = IDLE, delay: int = DELAY, with_messages: bool = False) -> DataFrame:
-    """The streaming operator: rows is a stream with COLUMNS and arrived_at; emits EMITTED rows as sessions close."""
-    ready = _prepared(rows, spread, shards).withWatermark("arrived_at", f"{delay} seconds")
-    return ready.groupBy("shard").applyInPandasWithState(stateful(idle, with_messages), EMITTED, "buffer binary", "append", GroupStateTimeout.EventTimeTimeout)
-
+def conversation_stream(rows: DataFrame, shards: int, *, idle: int = IDLE, delay: int = DELAY) -> DataFrame:
+    """The streaming operator: rows is a stream with COLUMNS and mark (null but for an end mark); emits EMITTED rows as sessions close."""
+    ready = _prepared(rows, shards).withWatermark("arrived_at", f"{delay} seconds")
+    return ready.groupBy("shard").applyInPandasWithState(stateful(idle), EMITTED, "buffers array<binary>, soonest long", "append", GroupStateTimeout.EventTimeTimeout)
 
-def _streamable(spark: SparkSession, path: str) -> str:
-    """The path itself if it is a folder; of a single file a pattern that matches it only, as streams read folders."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return f"{path[:-1]}[{path[-1]}]" if files.exists(where) and files.getFileStatus(where).isFile() else path
 
+def emitted(spark: SparkSession, path: str, *, idle: int = IDLE, delay: int = DELAY, triggers: int = TRIGGERS, shards: int | None = None) -> DataFrame:
+    """(session_id, id, occurred, role) of the Parquet files at path, from a streaming query that is run to its end.
 
-def emitted(spark: SparkSession, path: str, *, idle: int = IDLE, delay: int = DELAY, with_messages: bool = False, spread_rows: int = SPREAD_ROWS, shard_rows: int = SHARD_ROWS, files_per_trigger: int | None = None) -> DataFrame:
-    """EMITTED rows of the Parquet files at path, from a streaming query that is run to its end.
-
-    By default one micro-batch takes all files, so that nothing is ever behind the watermark. files_per_trigger cuts
-    it into several; a record behind the watermark by then is dropped by Spark, so set delay to the greatest
-    disorder of the files.
+    A row a message, and rows of id NOTHING that only say the session is there. The files are read in about triggers
+    micro-batches, at least one file each, in their order of writing; sessions close by their idle time in between, and
+    those a row came to afterwards are taken from the record as a whole.
     """
-    batch = spark.read.parquet(path)
-    schema = batch.select(*COLUMNS).schema
-    logs = batch.select(*COLUMNS).withColumn("received_at", F.col("received_at").cast("timestamp"))
-    span = logs.agg(F.count("*").alias("n"), F.max("received_at").alias("latest")).first()
-    shards = max(48, -(-span["n"] // shard_rows))
-    spread = cut(crowded(batch, spread_rows), "spread")
-    # later than every timeout, though not by the clock of any record
-    mark = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
-    end = F.lit(span["latest"]).cast("timestamp") if span["latest"] else F.lit(0).cast("timestamp")
-    mark = mark.withColumn("arrived_at", F.timestamp_seconds(F.unix_seconds(F.greatest(end, F.lit(0).cast("timestamp"))) + idle + 2 * delay + 3600))
+    logs = spark.read.parquet(path).select(*COLUMNS)
+    shards = shards or SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     marks, out, state = own_path(spark, "mark"), own_path(spark, "conversations"), own_path(spark, "state")
-    # in several micro-batches the mark may only come after the last of them: the query is resumed for it
-    (mark.limit(0) if files_per_trigger else mark).write.parquet(marks)
-    source = spark.readStream.schema(schema)
-    if files_per_trigger:
-        source = source.option("maxFilesPerTrigger", files_per_trigger)
-    rows = source.parquet(_streamable(spark, path)).where("session_id is not null").withColumn("arrived_at", F.col("received_at").cast("timestamp"))
-    closing = spark.readStream.schema(mark.schema).parquet(marks)
-    for df_name in ("received_at", "occurred_at"):
-        rows = rows.withColumn(df_name, F.col(df_name).cast("timestamp"))
-        closing = closing.withColumn(df_name, F.col(df_name).cast("timestamp"))
-    stream = conversation_stream(rows.unionByName(closing), spread, shards, idle=idle, delay=delay, with_messages=with_messages)
+    per_trigger = max(1, -(-len(logs.inputFiles()) // triggers))
+    rows = streamed(spark, path, COLUMNS, per_trigger).where("session_id is not null").withColumn("mark", F.lit(None).cast("boolean"))
+    # later than every timeout; the query is resumed for it, after the last of the files
+    mark = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]).withColumns({"mark": F.lit(True), "received_at": F.lit(END).cast("timestamp")})
+    mark.limit(0).write.parquet(marks)
+    stream = conversation_stream(rows.unionByName(streamed(spark, marks)), shards, idle=idle, delay=delay)
     writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True)
-    writer.start().awaitTermination()
-    if files_per_trigger:
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, ROCKS)
+    try:
+        writer.start().awaitTermination()
         mark.write.mode("append").parquet(marks)
         writer.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    finally:
+        spark.conf.set(name, before)
+    found = spark.read.schema(stream.schema).parquet(out)
+    again = found.groupBy("session_id", "shard").agg(F.min("closed").alias("a"), F.max("closed").alias("b")).where("a < b").select("session_id").distinct()
+    if again.isEmpty():
+        return found.drop("shard", "closed")
+    again = cut(again, "again")
+    return found.join(again, "session_id", "left_anti").drop("shard", "closed").unionByName(_from_record(logs.join(again, "session_id", "left_semi")))
+
+
+def _from_record(logs: DataFrame) -> DataFrame:
+    """What emitted() gives of these rows, without a stream."""
+    message, role = _told()
+    rows = logs.withColumns({"received_at": F.col("received_at").cast("timestamp"), "occurred": F.coalesce(F.unix_micros(F.col("occurred_at").cast("timestamp")), F.lit(NOTHING)), "role": role, "message": message})
+    first = panes.first_arrivals(rows, "occurred", "role", "message").where("message").select("session_id", "id", "occurred", "role")
+    return first.unionByName(logs.select("session_id", F.lit(NOTHING).alias("id"), F.lit(NOTHING).alias("occurred"), F.lit(NONE).alias("role")).distinct())
 
 
 def _composed(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(session_id, reason, messages) of spread sessions, and their messages with turns, by slices of time."""
+    """(session_id, reason, messages) of all sessions, and their messages with turns, by slices of time."""
     rows = parts.where(F.col("id") != NOTHING).withColumn("slice", F.when(F.col("occurred") != NOTHING, F.floor(F.col("occurred") / F.lit(SLICE * 1_000_000))))
     inside = Window.partitionBy("session_id", "slice").orderBy("occurred", "id")
     rows = rows.withColumn("nth", F.row_number().over(inside))
@@ -232,16 +218,14 @@ def sessions(emitted_rows: DataFrame) -> DataFrame:
     Messages are first arrivals of kind prompt, response or system with actor_depth 0 or null and a body that is not
     blank. A session without messages has no user. An actor other than human, agent and system counts as missing.
     """
-    whole = emitted_rows.where(~F.col("part") & (F.col("id") == NOTHING)).select("session_id", "reason", "messages")
-    spread, _ = _composed(emitted_rows.where("part"))
+    composed, _ = _composed(emitted_rows)
     names = F.array(*[F.lit(r) for r in REASONS])
-    return whole.unionByName(spread).select("session_id", F.element_at(names, F.col("reason") + 1).alias("reason"), "messages")
+    return composed.select("session_id", F.element_at(names, F.col("reason") + 1).alias("reason"), "messages")
 
 
 def conversations(emitted_rows: DataFrame, logs: DataFrame) -> DataFrame:
-    """(session_id, turn, role, log_id, body): the messages of whole conversations in their order, from emitted(with_messages=True)."""
-    _, turned = _composed(emitted_rows.where("part"))
-    flat = emitted_rows.where(~F.col("part") & (F.col("id") != NOTHING)).select("session_id", "id", "role", "turn").unionByName(turned)
-    good = sessions(emitted_rows).where("reason = ''").select("session_id")
+    """(session_id, turn, role, log_id, body): the messages of whole conversations in their order, from emitted()."""
+    composed, turned = _composed(emitted_rows)
+    good = composed.where("reason = 0").select("session_id")
     names = F.array(*[F.lit(n) for n in NAMES])
-    return flat.join(good, "session_id", "left_semi").join(logs.select("id", "body"), "id").select("session_id", "turn", F.element_at(names, F.col("role") + 1).alias("role"), F.col("id").alias("log_id"), "body")
+    return turned.join(good, "session_id", "left_semi").join(logs.select("id", "body"), "id").select("session_id", "turn", F.element_at(names, F.col("role") + 1).alias("role"), F.col("id").alias("log_id"), "body")

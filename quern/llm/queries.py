@@ -54,7 +54,7 @@ def p6_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
-    found = conversations.emitted(spark, f"{d}/logs.parquet", with_messages=True)
+    found = cut(conversations.emitted(spark, f"{d}/logs.parquet"), "emitted")
     return conversations.conversations(found, table(spark, d, "logs")).select("session_id", "turn", "role", "log_id", "body")
 
 

@@ -54,12 +54,13 @@ def made():
     return rows
 
 
-@pytest.mark.parametrize("spread_rows,shard_rows,files", [(20_000, 25_000, None), (100, 50, None), (100, 50, 2)])
-def test_against_brute_force(spark, tmp_path, spread_rows, shard_rows, files):
+@pytest.mark.parametrize("idle,delay,triggers,files", [(C.IDLE, C.DELAY, 4, 5), (3600, 60, 5, 5), (10, 0, 20, 9), (30 * 86400, 600, 1, 3)])
+def test_against_brute_force(spark, tmp_path, idle, delay, triggers, files):
+    """Rows in files of any order: with a short idle time most sessions are emitted before some of their rows come."""
     rows = made()
     path = f"file://{tmp_path}/logs.parquet"
-    spark.createDataFrame(rows, SCHEMA).repartition(5).write.parquet(path)
-    found = C.emitted(spark, path, spread_rows=spread_rows, shard_rows=shard_rows, files_per_trigger=files, delay=600 if not files else 60 * 86400, with_messages=True)
+    spark.createDataFrame(rows, SCHEMA).repartition(files).write.parquet(path)
+    found = C.emitted(spark, path, idle=idle, delay=delay, triggers=triggers)
     want = brute(rows)
     assert {r.session_id: (C.REASONS.index(r.reason), r.messages) for r in C.sessions(found).collect()} == want
     got = {}
@@ -77,7 +78,7 @@ def test_closing_by_timeout_before_the_end(spark, tmp_path):
     path = f"file://{tmp_path}/logs.parquet"
     for part in (first, later):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
-    found = C.sessions(C.emitted(spark, path, idle=3600, files_per_trigger=1))
+    found = C.sessions(C.emitted(spark, path, idle=3600, triggers=2))
     assert {(r.session_id, r.reason) for r in found.collect()} == {("old", ""), ("new", "no assistant")}
 
 
