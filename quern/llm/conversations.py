@@ -81,7 +81,7 @@ def _prepared(rows: DataFrame, shards: int) -> DataFrame:
     clock = F.coalesce(F.col("mark"), F.pmod(F.xxhash64("id"), F.lit(CLOCK)) == 0)
     copies = F.explode(F.when(F.coalesce("mark", F.lit(False)), F.array(F.lit(True))).when(clock, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
     ready = ready.withColumn("clock", copies)
-    return ready.select("shard", *[F.when(~F.col("clock"), F.col(c)).alias(c) for c in BUFFER], F.when(F.col("clock"), F.col("told")).alias("arrived_at"))
+    return ready.select("shard", *BUFFER, "clock", F.when(F.col("clock"), F.col("told")).alias("arrived_at"))
 
 
 def first_rows(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -106,11 +106,10 @@ def stateful(idle: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         blobs, soonest = state.get if state.exists else ([], None)
         if not state.hasTimedOut:
-            new = [b[b["id"].notna()] for b in batches]
+            new = [b[~b["clock"]] for b in batches]
             new = [b for b in new if len(b)]
             if new:
                 rows = pd.concat(new, ignore_index=True)
-                rows = rows.astype({"received": "int64", "id": "int64", "occurred": "int64", "role": "int32", "message": "bool", "arrived": "int64"})
                 due = int(rows.groupby("session_id")["arrived"].max().min()) + idle
                 soonest = due if soonest is None else min(soonest, due)
                 blobs = [*blobs, _packed(rows)]
