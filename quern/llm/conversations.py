@@ -113,9 +113,9 @@ def stateful(idle: int):
                 due = int(rows.groupby("session_id")["arrived"].max().min()) + idle
                 soonest = due if soonest is None else min(soonest, due)
                 blobs = [*blobs, _packed(rows)]
-        else:
+        now = state.getCurrentWatermarkMs()
+        if blobs and soonest * 1000 <= now:
             rows = first_rows(pd.concat([pd.read_parquet(io.BytesIO(b)) for b in blobs], ignore_index=True))
-            now = state.getCurrentWatermarkMs()
             ends = rows.groupby("session_id")["arrived"].transform("max") + idle
             closed = (ends <= now / 1000).to_numpy()
             if closed.any():
@@ -132,7 +132,7 @@ def stateful(idle: int):
                 state.remove()
             return
         state.update((blobs, soonest))
-        state.setTimeoutTimestamp(max(soonest * 1000, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(soonest * 1000, now + 1))
 
     return run
 
