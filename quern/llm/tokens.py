@@ -1,15 +1,17 @@
 """Token ids of whole texts by a public byte-level tokenizer, by forced-boundary splitting.
 
 A byte pair that occurs inside no vocabulary token can never be merged, so a text may be cut there and its fragments
-encoded alone. The pairs are read from the vocabulary. Cuts are made before runs of ASCII white space, wherever the
-vocabulary proves every pair of another byte and that white space to be forced, and where the tokenizer's own word
-pattern ends a word too. Fragments repeat heavily, so a worker keeps their ids; the store of kept fragments is emptied
-when it is full, which changes no result.
+encoded alone. The pairs are read from the vocabulary. Texts are cut in two steps: first before runs of ASCII white
+space, where the vocabulary proves every pair of another byte and that white space to be forced and the word pattern
+ends a word too; then, inside such a piece, at the ends of the pattern's words and between the bytes of every forced
+pair. The fragments are encoded by merging the pair of least rank until none is left. Pieces and fragments repeat
+heavily, so a worker keeps their ids; the stores are emptied when they are full, which changes no result.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 from array import array
 from collections.abc import Iterator
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Kept fragments of a worker, and the longest that is kept.
+#: Kept pieces and fragments of a worker, and the longest that is kept.
 KEPT_FRAGMENTS = 400_000
 KEPT_LENGTH = 40
 
@@ -44,15 +46,61 @@ def forced_pairs(ranks: dict[bytes, int]) -> np.ndarray:
     return forced
 
 
+SPACE = b" \t\n\r\f\x0b"
+
+
 def fragment_pattern(ranks: dict[bytes, int]) -> re.Pattern:
-    """Splits a text into fragments that can be encoded alone: white space, then everything up to the next cut."""
+    """Splits a text into pieces: white space, then everything up to the next white space that a cut is made before.
+
+    A byte of several-byte characters may still be unforced before it, which Encoder.pieces sees to.
+    """
     forced = forced_pairs(ranks)
-    space = b" \t\n\r\f\x0b"
-    others = [b for b in range(256) if b not in space]
-    sure = "".join(re.escape(chr(w)) for w in space if forced[others, w].all())
+    others = [b for b in range(128) if b not in SPACE]
+    sure = "".join(re.escape(chr(w)) for w in SPACE if forced[others, w].all())
     return re.compile(f"[{sure}]*[^{sure}]+|[{sure}]+" if sure else r"(?s:.+)")
 
 
+def merged(fragment: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a fragment: of all neighbouring parts the pair of least rank, the first of equals, is merged first.
+
+    Parts are linked by their places and pairs wait in a heap, so a long fragment costs no more than n log n steps.
+    """
+    whole = ranks.get(fragment)
+    if whole is not None:
+        return [whole]
+    n = len(fragment)
+    end = list(range(1, n + 1))  # of the part that starts at a place; 0 where none starts any more
+    before = list(range(-1, n - 1))
+    waiting = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(fragment[i : i + 2])) is not None]
+    heapq.heapify(waiting)
+    while waiting:
+        _, i, to = heapq.heappop(waiting)
+        j = end[i]
+        if not j or j >= n or end[j] != to:
+            continue  # one of the two parts has been merged otherwise
+        end[i], end[j] = to, 0
+        if to < n:
+            before[to] = i
+            r = ranks.get(fragment[i : end[to]])
+            if r is not None:
+                heapq.heappush(waiting, (r, i, end[to]))
+        if i:
+            r = ranks.get(fragment[before[i] : to])
+            if r is not None:
+                heapq.heappush(waiting, (r, before[i], to))
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[fragment[i : end[i]]])
+        i = end[i]
+    return ids
+
+
+def cut_between(forced: np.ndarray, left: str, right: str) -> bool:
+    """Whether the last byte of one character and the first of the next are forced apart."""
+    a, b = left.encode("utf-8", "replace"), right.encode("utf-8", "replace")
+    return bool(forced[a[-1], b[0]])
+
+
 class Encoder:
     """Encodes texts; one per worker process and vocabulary file."""
 
@@ -60,12 +108,60 @@ class Encoder:
 
     def __init__(self, path: str):
         import public_tokenizers
-        import tiktoken
-
-        ranks = read_vocabulary(path)
-        self.split = fragment_pattern(ranks).findall
-        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.kept: dict[str, list[int]] = {}
+        import regex
+
+        self.ranks = read_vocabulary(path)
+        self.split = fragment_pattern(self.ranks).findall
+        self.words = regex.compile(public_tokenizers.PATTERN).findall
+        self.forced = forced_pairs(self.ranks)
+        self.cut = [bytes(row) for row in self.forced.astype(np.uint8)]
+        self.kept: dict[str, array] = {}
+        self.known: dict[bytes, list[int]] = {}
+
+    def pieces(self, text: str) -> list[str]:
+        """The text cut before runs of ASCII white space, wherever the pair of bytes there is forced."""
+        parts = self.split(text)
+        if text.isascii() or len(parts) < 2:
+            return parts
+        out = parts[:1]
+        for part in parts[1:]:
+            if out[-1][-1] >= "\x80" and not cut_between(self.forced, out[-1][-1], part[0]):
+                out[-1] += part
+            else:
+                out.append(part)
+        return out
+
+    def fragments(self, piece: str) -> Iterator[bytes]:
+        """The fragments of a piece: its words, cut between the bytes of every forced pair. Lone surrogates count as U+FFFD."""
+        cut = self.cut
+        for word in self.words(piece):
+            b = word.encode("utf-8") if word.isascii() else word.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode("utf-8")
+            if b in self.ranks:
+                yield b
+                continue
+            if len(b) > 64:
+                codes = np.frombuffer(b, np.uint8)
+                at = (np.flatnonzero(self.forced[codes[:-1], codes[1:]]) + 1).tolist()
+            else:
+                at = [i for i in range(1, len(b)) if cut[b[i - 1]][b[i]]]
+            start = 0
+            for i in at:
+                yield b[start:i]
+                start = i
+            yield b[start:]
+
+    def encode(self, piece: str) -> array:
+        ids, known = array("i"), self.known
+        for fragment in self.fragments(piece):
+            found = known.get(fragment)
+            if found is None:
+                found = merged(fragment, self.ranks)
+                if len(fragment) <= KEPT_LENGTH:
+                    if len(known) >= KEPT_FRAGMENTS:
+                        known.clear()
+                    known[fragment] = found
+            ids.extend(found)
+        return ids
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -74,18 +170,18 @@ class Encoder:
         return cls._own[path]
 
     def flat(self, texts: list[str | None]) -> tuple[array, np.ndarray]:
-        """The ids of all texts in a row, and the end of each text among them. Lone surrogates count as U+FFFD."""
-        ids, ends, kept, encode, split = array("i"), np.empty(len(texts), np.int64), self.kept, self.encode, self.split
+        """The ids of all texts in a row, and the end of each text among them."""
+        ids, ends, kept, encode, split = array("i"), np.empty(len(texts), np.int64), self.kept, self.encode, self.pieces
         for i, text in enumerate(texts):
             if text:
-                for fragment in split(text):
-                    known = kept.get(fragment)
+                for piece in split(text):
+                    known = kept.get(piece)
                     if known is None:
-                        known = array("i", encode(fragment))
-                        if len(fragment) <= KEPT_LENGTH:
+                        known = encode(piece)
+                        if len(piece) <= KEPT_LENGTH:
                             if len(kept) >= KEPT_FRAGMENTS:
                                 kept.clear()
-                            kept[fragment] = known
+                            kept[piece] = known
                     ids.extend(known)
             ends[i] = len(ids)
         return ids, ends

@@ -26,6 +26,27 @@ def test_fragments_give_the_same_ids(plain):
         at = end
 
 
+def test_long_text_without_white_space(plain):
+    rng = random.Random(3)
+    encoder = tokens.Encoder.of(tokens.default_vocabulary())
+    for letters in ("abcdefghij", "etaoinsé日", "a1-_/.Z\u00e0", "\u00e0 \u00a0x"):
+        text = "".join(rng.choice(letters) for _ in range(80_000))
+        ids, _ = encoder.flat([text])
+        assert list(ids) == plain(text)
+
+
+def test_fragments_are_cut_at_forced_pairs_only():
+    encoder = tokens.Encoder.of(tokens.default_vocabulary())
+    got = list(encoder.fragments("x" * 40 + "\u00e9\U0001f642q"))
+    assert b"".join(got) == ("x" * 40 + "\u00e9\U0001f642q").encode() and len(got) > 1
+    for word in ("2024-05-18T11:17:44.610Z", "snake_case.name", "日本語の文字列"):
+        parts = list(encoder.fragments(word))
+        ends = [(a[-1], b[0]) for a, b in zip(parts, parts[1:])]
+        words = encoder.words(word)
+        borders = {(a.encode()[-1], b.encode()[0]) for a, b in zip(words, words[1:])}
+        assert all(encoder.forced[p] or p in borders for p in ends)
+
+
 def test_forced_pairs_are_in_no_token():
     ranks = tokens.read_vocabulary(tokens.default_vocabulary())
     forced = tokens.forced_pairs(ranks)
