@@ -1,16 +1,20 @@
 """Long exact spans that texts share with other texts.
 
 A text is covered by what it shares if some window of LENGTH characters around each place stands in another text too.
-Equal windows contain the same anchor: the GRAM-gram of least hash in them. So:
-
-1. Every partition puts the anchors of its texts, each once per text, into a count-min sketch of two-bit counters
-   (none, one, more); the sketches are merged. Estimates are never too low.
-2. A second pass takes only anchors estimated repeated and groups them exactly: those of two texts or more are kept.
-3. Only windows whose anchor is kept can stand in another text. They are grouped exactly by a 96-bit hash; the
-   windows of two texts or more cover what is shared.
-
-No window is lost, since a sketch only ever overestimates, and nothing is sampled. Texts that are equal as a whole are
-one text to this, and each gets its whole length. A window of any number of texts costs one row a text, never a pair.
+Equal windows contain the same anchor at the same place: the GRAM-gram of least hash in them. So:
+
+1. A text is cut into runs, the stretches of windows that have one anchor: a row for about (LENGTH - GRAM) / 2
+   characters, with the hashes of its anchor and of all its characters.
+2. Count-min sketches tell which anchors may be repeated. The space of hashes is cut into slices that grow in number
+   with the input, each with a sketch of its own; partitions send each slice their anchors, a repeated one twice at
+   most, and an anchor whose cells are all taken when it comes is estimated repeated. None of two texts is ever missed.
+3. Only runs of such anchors are grouped exactly, each first within its partition: the least and the greatest doc_id
+   of equal runs tell whether all their windows stand in two texts.
+4. Where an anchor has different runs (the ends of what is shared), one text of each different run is cut out, and the
+   windows at the same distance from the anchor are compared as text.
+
+No group of equal runs or windows is ever one task's rows: they are combined by least and greatest, and hot runs are
+spread where their result is joined back. Nothing is sampled, and no window is lost, since a sketch only overestimates.
 """
 
 from __future__ import annotations
@@ -22,16 +26,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators import skew
 from quern.tables import cut
 
 LENGTH = 200
-#: Characters of an anchor: of the windows of a span, about one in (LENGTH - GRAM) / 2 characters is one.
+#: Characters of an anchor.
 GRAM = 80
-#: Cells of a row of the sketch per anchor, and the most cells of a row (8 MB a row, 64 MB in a worker that fills it). A sketch that is
-#: full because the input outgrew it lets more windows into the exact grouping and loses none.
-CELLS_PER_ANCHOR, MOST_CELLS, ROWS, BLOCK = 8, 1 << 25, 2, 1 << 19
+#: Anchors of one slice of the hash space, and cells of a row of its sketch for each; rows of a sketch.
+SLICE_ANCHORS, CELLS_PER_ANCHOR, ROWS = 1_000_000, 8, 2
+#: Different runs of one anchor beyond which its windows are grouped by Spark rather than within one task.
+GROUP_ROWS = 20_000
 LOW = np.uint64(0xFFFFFFFF)
 BASE, MIX = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
+RUN = ["anchor", "h", "n", "lead"]
 
 
 class Roller:
@@ -66,7 +73,7 @@ class Roller:
         return h
 
 
-FIRST, SECOND = Roller(), Roller(0xC2B2AE3D27D4EB4F)
+FIRST = Roller()
 
 
 def codes(text: str, twist: int = MIX) -> np.ndarray:
@@ -108,6 +115,19 @@ def anchors(text: str, length: int, gram: int) -> np.ndarray:
     return np.unique(grams[where[np.r_[True, where[1:] != where[:-1]]]])
 
 
+def runs(text: str, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(at, n, lead, anchor, h) of each run: its first window, its windows, the place of the anchor in it, two hashes."""
+    sums = FIRST.sums(codes(text))
+    grams = FIRST.windows(sums, gram)
+    where = least_places(grams, length - gram + 1)
+    at = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])[: len(where)]
+    n = np.diff(np.r_[at, len(where)])
+    h = (sums[at + n + length - 1] - sums[at]) * FIRST.down[at]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    return at, n, where[at] - at, grams[where[at]], h
+
+
 def cells(hashes: np.ndarray, width: int) -> list[np.ndarray]:
     """The cell of each hash in each row of the sketch; width is a power of two."""
     mask = np.uint64(width - 1)
@@ -115,185 +135,166 @@ def cells(hashes: np.ndarray, width: int) -> list[np.ndarray]:
 
 
 class Sketch:
-    """Two bitmaps a row: cells hit, and cells hit more than once."""
+    """The cells taken so far, in each row."""
 
     def __init__(self, width: int):
         self.width = width
-        self.once = np.zeros((ROWS, width), bool)
-        self.more = np.zeros((ROWS, width), bool)
-
-    def add(self, hashes: np.ndarray) -> None:
-        for row, at in enumerate(cells(hashes, self.width)):
-            at.sort()
-            self.more[row, at[1:][at[1:] == at[:-1]]] = True
-            self.more[row, at[self.once[row, at]]] = True
-            self.once[row, at] = True
-
-
-def _blocks(row: int, once: np.ndarray, more: np.ndarray, block: int) -> list[tuple]:
-    out = []
-    for start in range(0, len(once), block):
-        part = once[start : start + block]
-        if part.any():
-            out.append((row, start // block, np.packbits(part).tobytes(), np.packbits(more[start : start + block]).tobytes()))
-    return out
+        self.taken = np.zeros((ROWS, width), bool)
 
+    def again(self, hashes: np.ndarray) -> np.ndarray:
+        """Adds the hashes and gives those estimated to have been there before, here or in an earlier call."""
+        distinct, count = np.unique(hashes, return_counts=True)
+        there = np.ones(len(distinct), bool)
+        for row, at in enumerate(cells(distinct, self.width)):
+            there &= self.taken[row, at]
+            self.taken[row, at] = True
+        return distinct[there | (count > 1)]
 
-def bitmap(anchor_rows: DataFrame, width: int, which: str) -> np.ndarray:
-    """The cells hit once or more (which = once), or more than once (more), over all rows: ROWS x width bits.
 
-    Partitions send the blocks they hit, and tasks merge each block; what reaches the driver is ROWS * width / 8
-    bytes at most, whatever the input.
-    """
-    block = min(BLOCK, width)
+def likely_repeated(listed: DataFrame, slices: int, width: int) -> DataFrame:
+    """(anchor): those of listed that may stand there more than once, by a sketch of that width for each slice of the hashes."""
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch = Sketch(width)
+    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sketch.add(pdf["anchor"].to_numpy().view(np.uint64))
-        for row in range(ROWS):
-            out = _blocks(row, sketch.once[row], sketch.more[row], block)
-            if out:
-                yield pd.DataFrame(out, columns=["row", "block", "once", "more"])
-
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], list[np.ndarray]] = {}
+            values, count = np.unique(pdf["anchor"].to_numpy().view(np.uint64), return_counts=True)
+            values = np.concatenate([values, values[count > 1]])
+            part = ((values * np.uint64(0xD1342543DE82EF95)) >> np.uint64(33)).astype(np.int64) % slices
+            order = np.argsort(part, kind="stable")
+            edge = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])[: len(order)]
+            parts = np.split(values[order], edge[1:])
+            if len(order):
+                yield pd.DataFrame({"slice": part[order][edge], "anchors": [p.tobytes() for p in parts]})
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, sketch = None, None
         for pdf in batches:
-            for row, at, once, more in pdf.itertuples(index=False):
-                a, b = np.frombuffer(once, np.uint8), np.frombuffer(more, np.uint8)
-                if (row, at) in held:
-                    was = held[row, at]
-                    held[row, at] = [was[0] | a, was[1] | b | (was[0] & a)]
-                else:
-                    held[row, at] = [a, b]
-        out = [(row, at, bits[which == "more"].tobytes()) for (row, at), bits in held.items() if bits[which == "more"].any()]
-        if out:
-            yield pd.DataFrame(out, columns=["row", "block", "bits"])
-
-    parts = anchor_rows.mapInPandas(local, "row int, block int, once binary, more binary")
-    blocks = cut(parts.repartition("row", "block").mapInPandas(merged, "row int, block int, bits binary"), "sketch")
-    maps = np.zeros((ROWS, width // 8), np.uint8)
-    for r in blocks.toLocalIterator():
-        start = r["block"] * (block // 8)
-        maps[r["row"], start : start + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-    return maps
-
-
-def width_for(count: int, most_cells: int) -> int:
-    width = 1 << 16
-    while width < min(most_cells, CELLS_PER_ANCHOR * count):
-        width *= 2
-    return width
-
-
-def holds(maps: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether all cells of each hash are set."""
-    keep = np.ones(len(hashes), bool)
-    for row, at in enumerate(cells(hashes, maps.shape[1] * 8)):
-        keep &= (maps[row, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-    return keep
-
-
-def of_several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(doc_id, at) of rows whose window stands in two documents; rows come sorted by window and document.
-
-    Of a window that goes on in the next batch only the rows of its first document are held back, and only until
-    a second one comes.
+            for number, anchors_ in zip(pdf["slice"], pdf["anchors"]):
+                if number != of:
+                    of, sketch = number, Sketch(width)  # rows come by slice
+                found = sketch.again(np.frombuffer(anchors_, np.uint64))
+                if len(found):
+                    yield pd.DataFrame({"anchor": found.view(np.int64)})
+
+    parted = listed.select("anchor").mapInPandas(sent, "slice long, anchors binary")
+    return parted.repartition("slice").sortWithinPartitions("slice").mapInPandas(told, "anchor long").distinct()
+
+
+def shared_windows(texts: list[str], leads: list[int], least: list[int], greatest: list[int], length: int) -> list[list[int]]:
+    """Of each run of one anchor the windows, counted from its first one, that stand in two documents, by their text.
+
+    least and greatest are of the doc_ids that have the run.
     """
-    key, several, held = None, False, None
-    for pdf in batches:
-        if not len(pdf):
-            continue
+    out: list[list[int]] = [[] for _ in texts]
+    for back in range(max(leads) + 1):  # characters of the window before the anchor
+        seen: dict[str, list] = {}
+        for i, text in enumerate(texts):
+            at = leads[i] - back
+            if at >= 0 and at + length <= len(text):
+                known = seen.setdefault(text[at : at + length], [least[i], greatest[i], []])
+                known[0], known[1] = min(known[0], least[i]), max(known[1], greatest[i])
+                known[2].append((i, at))
+        for a, b, places in seen.values():
+            if a != b:
+                for i, at in places:
+                    out[i].append(at)
+    return out
+
+
+def _partly(contexts: DataFrame, length: int, group_rows: int) -> DataFrame:
+    """(RUN, windows): of each run in contexts (RUN, a, b, m, context) its windows that stand in two documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = pdf["anchor"] == pdf["anchor"].iloc[-1]
+            held = pdf[last]
+            yield from told(pdf[~last])
         if held is not None:
-            pdf = pd.concat([held, pdf], ignore_index=True)
-        h1, h2, doc = pdf["h1"].to_numpy(), pdf["h2"].to_numpy(), pdf["doc_id"].to_numpy()
-        edge = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-        end = np.r_[edge[1:], len(pdf)]
-        good = doc[edge] != doc[end - 1]
-        if several and key == (h1[0], h2[0]):
-            good[0] = True
-        key, several = (h1[-1], h2[-1]), bool(good[-1])
-        held = None if several else pdf.iloc[edge[-1] :]
-        keep = np.repeat(good, end - edge)
-        if keep.any():
-            yield pdf.loc[keep, ["doc_id", "at"]]
-
-
-def shared(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, most_cells: int = MOST_CELLS) -> DataFrame:
+            yield from told(held)
+
+    def told(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        found = []
+        for _, group in pdf.groupby("anchor", sort=False):
+            found += shared_windows(group["context"].tolist(), group["lead"].tolist(), group["a"].tolist(), group["b"].tolist(), length)
+        if found:
+            out = pdf.iloc[np.concatenate([np.asarray(i) for i in pdf.groupby("anchor", sort=False).indices.values()])][RUN].assign(windows=found)
+            yield out[out["windows"].str.len() > 0]
+
+    kind = "anchor long, h long, n int, lead int, windows array<int>"
+    few = contexts.where(F.col("m") <= group_rows).select(*RUN, "a", "b", "context")
+    inside = few.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(run, kind)
+    many = contexts.where(F.col("m") > group_rows).withColumn("window", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    text = F.expr(f"substring(context, window + 1, {length})")
+    many = many.select(*RUN, "a", "b", "window", (F.col("lead") - F.col("window")).alias("back"), F.md5(text).alias("w1"), F.xxhash64(text).alias("w2"))
+    key = ["anchor", "back", "w1", "w2"]
+    twice = many.groupBy(*key).agg(F.min("a").alias("least"), F.max("b").alias("greatest")).where("least < greatest").select(*key)
+    return inside.unionByName(many.join(twice, key, "left_semi").groupBy(*RUN).agg(F.collect_list("window").alias("windows")))
+
+
+def shared(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, slice_anchors: int = SLICE_ANCHORS, cells_per_anchor: int = CELLS_PER_ANCHOR, group_rows: int = GROUP_ROWS, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """(doc_id, shared_chars, runs): of each text that shares a span of length characters or more with another doc_id.
 
     shared_chars counts the characters that lie in some such span, runs their connected stretches. Nothing is
     normalised; characters are code points. Repetition within one text does not count. Rows without id, null texts and
-    texts shorter than length share nothing. Of rows repeating an id and a text one counts; of an id with several
-    texts the longest text that is a copy, else their places together.
+    texts shorter than length share nothing. Of an id with several texts the one that shares most counts. Whole runs are
+    compared by two 64-bit hashes, the windows at their ends as text.
     """
     rows = documents.where(F.col(id_col).isNotNull() & (F.length(text_col) >= length)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = rows.select("doc_id", F.length("text").cast("long").alias("chars"), F.xxhash64("text").alias("h"), F.md5("text").alias("m")).distinct()
-    copies = ids.groupBy("h", "m").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where("rep < other")
-    copied = cut(ids.join(copies, ["h", "m"]).select("doc_id", "chars", F.col("rep")), "copies")
-    # one text of each class of equal ones goes on; all of them are known to be shared whole
-    one = rows.join(copied.where("doc_id <> rep").select("doc_id", "chars"), (rows["doc_id"] == copied["doc_id"]) & (F.length("text") == copied["chars"]), "left_anti")
 
-    def find_anchors(batches):
+    def find_runs(batches):
         for pdf in batches:
-            found = [anchors(t, length, gram) for t in pdf["text"]]
-            size = [len(f) for f in found]
+            found = [runs(t, length, gram) for t in pdf["text"]]
+            size = [len(f[0]) for f in found]
             if sum(size):
-                yield pd.DataFrame({"doc_id": np.repeat(pdf["doc_id"].to_numpy(), size), "anchor": np.concatenate(found).view(np.int64)})
-
-    listed = cut(one.mapInPandas(find_anchors, "doc_id long, anchor long"), "anchors")
-    context = documents.sparkSession.sparkContext
-    seen = context.broadcast(bitmap(listed.select("anchor"), width_for(listed.count(), most_cells), "more"))
-
-    def estimated(batches):
-        for pdf in batches:
-            keep = holds(seen.value, pdf["anchor"].to_numpy().view(np.uint64))
-            if keep.any():
-                yield pdf[keep]
-
-    likely = listed.mapInPandas(estimated, "doc_id long, anchor long")
-    real = cut(likely.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "repeated")
-    count = real.count()
-    if count <= most_cells // CELLS_PER_ANCHOR:
-        # the repeated anchors fit a bitmap of bounded size that every worker holds
-        kept = context.broadcast(bitmap(real, width_for(count, most_cells), "once"))
-        texts = one.withColumn("anchors", F.lit(None).cast("array<long>"))
-    else:
-        kept = None
-        texts = one.join(listed.join(real, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "doc_id")
-
-    def find_windows(batches):
-        for pdf in batches:
-            docs, h1, h2, places = [], [], [], []
-            for doc, text, own in zip(pdf["doc_id"], pdf["text"], pdf["anchors"]):
-                sums = FIRST.sums(codes(text))
-                grams = FIRST.windows(sums, gram)
-                where = least_places(grams, length - gram + 1)
-                change = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-                used = grams[where[change]]
-                good = holds(kept.value, used) if kept is not None else np.isin(used.view(np.int64), np.asarray(own, np.int64))
-                if not good.any():
-                    continue
-                hit = np.flatnonzero(np.repeat(good, np.diff(np.r_[change, len(where)])))
-                docs.append(np.full(len(hit), doc))
-                h1.append(FIRST.windows(sums, length)[hit])
-                h2.append(SECOND.windows(SECOND.sums(codes(text, 0xA0761D6478BD642F)), length)[hit] >> np.uint64(32))
-                places.append(hit)
-            if docs:
-                yield pd.DataFrame({"doc_id": np.concatenate(docs), "h1": np.concatenate(h1).view(np.int64), "h2": np.concatenate(h2).astype(np.uint32).view(np.int32), "at": np.concatenate(places).astype(np.int32)})
-
-    windows = texts.select("doc_id", "text", "anchors").mapInPandas(find_windows, "doc_id long, h1 long, h2 int, at int")
-    hits = windows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id").mapInPandas(of_several, "doc_id long, at int")
+                at, n, lead, anchor, h = (np.concatenate(c) for c in zip(*found))
+                yield pd.DataFrame({"doc_id": np.repeat(pdf["doc_id"].to_numpy(), size), "of": np.repeat(pdf["of"].to_numpy(), size), "at": at.astype(np.int32), "n": n.astype(np.int32), "lead": lead.astype(np.int32), "anchor": anchor.view(np.int64), "h": h.view(np.int64)})
+
+    named = rows.withColumn("of", F.xxhash64("text"))
+    every = cut(named.mapInPandas(find_runs, "doc_id long, of long, at int, n int, lead int, anchor long, h long"), "runs")
+    total = every.count()
+    slices = max(1, -(-total // slice_anchors))
+    width = 1 << max(6, int(cells_per_anchor * total / slices).bit_length())
+    likely = cut(likely_repeated(every, slices, width), "likely")
+    # each anchor meets one row; where an anchor has a large share of the runs Spark's skew join splits its side
+    repeated = cut(every.join(likely, "anchor", "left_semi"), "repeated")
+    different = repeated.groupBy(*RUN).agg(F.min(F.struct("doc_id", "of", "at")).alias("rep"), F.max("doc_id").alias("b"), F.count("*").alias("rows"))
+    different = cut(different.select(*RUN, "rep.*", F.col("rep.doc_id").alias("a"), "b", "rows"), "different")
+    # runs that stand in one text only, of anchors that others have too, and those others
+    mixed = different.groupBy("anchor").agg(F.count("*").alias("m"), F.max(F.col("a") == F.col("b")).alias("alone")).where("m > 1 and alone").select("anchor", "m")
+    ends = different.join(mixed, "anchor")
+    asked = ends.groupBy("doc_id", "of").agg(F.collect_list(F.struct(*RUN, "at", "a", "b", "m")).alias("asked"))
+    cut_out = named.join(asked, ["doc_id", "of"]).select("text", F.explode("asked").alias("run")).select("run.*", F.expr(f"substring(text, run.at + 1, run.n + {length - 1})").alias("context"))
+    partly = _partly(cut_out.dropDuplicates(RUN), length, group_rows)
+    whole = different.where("a < b").select(*RUN, F.lit(None).cast("array<int>").alias("windows"))
+    partly = partly.join(different.where("a = b").select(*RUN), RUN, "left_semi")
+    covers = cut(whole.unionByName(partly), "covers")
+    hot_runs = cut(skew.hot_keys(different, RUN, n="rows", hot_rows=hot_rows), "hot")
+    hits = skew.spread_join(repeated, covers, RUN, hot_runs, ["doc_id", "at"])
 
     def cover(batches):
         for pdf in batches:
-            chars, runs = [], []
-            for places in pdf["places"]:
-                gaps = np.diff(np.sort(np.asarray(places, np.int64)))
-                chars.append(int(length + np.minimum(gaps, length).sum()))
-                runs.append(int(1 + (gaps > length).sum()))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "shared_chars": chars, "runs": runs})
-
-    partly = hits.groupBy("doc_id").agg(F.collect_list("at").alias("places")).mapInPandas(cover, "doc_id long, shared_chars long, runs long")
-    whole = copied.groupBy("doc_id").agg(F.max("chars").alias("shared_chars"), F.lit(1).cast("long").alias("runs"))
-    return whole.unionByName(partly.join(whole.select("doc_id"), "doc_id", "left_anti"))
+            chars, stretches = [], []
+            for found in pdf["found"]:
+                start, end = [], []
+                for f in found:
+                    if f["windows"] is None:
+                        start.append(np.array([f["at"]]))
+                        end.append(np.array([f["at"] + f["n"] + length - 1]))
+                    else:
+                        place = f["at"] + np.asarray(f["windows"], np.int64)
+                        start.append(place)
+                        end.append(place + length)
+                start, end = np.concatenate(start).astype(np.int64), np.concatenate(end).astype(np.int64)
+                order = np.argsort(start, kind="stable")
+                start, end = start[order], np.maximum.accumulate(end[order])
+                fresh = np.maximum(start, np.r_[-1, end[:-1]])
+                chars.append(int((end - np.minimum(fresh, end)).sum()))
+                stretches.append(int(1 + (start[1:] > end[:-1]).sum()))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "shared_chars": chars, "runs": stretches})
+
+    of_text = hits.groupBy("doc_id", "of").agg(F.collect_list(F.struct("at", "n", "windows")).alias("found"))
+    covered = of_text.mapInPandas(cover, "doc_id long, shared_chars long, runs long")
+    return covered.groupBy("doc_id").agg(F.max(F.struct("shared_chars", "runs")).alias("most")).select("doc_id", "most.*")

@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from quern.llm import spans
@@ -41,15 +40,15 @@ def made(seed=3, n=120):
             a = rng.randint(0, len(p) // 3)
             text += p[a : len(p) - rng.randint(0, len(p) // 3)] + noise(rng.randint(0, 40))
         rows.append((i, text))
-    rows += [(1000, "ab" * 100), (1001, "ab" * 60), (1002, "a" * 300), (1003, "a" * 29), (1004, "a" * 30), (1005, None), (1006, ""), (1007, rows[5][1]), (1008, rows[5][1]), (None, rows[6][1]), (7, rows[7][1]), (1009, noise(40) * 5)]
+    rows += [(1000, "ab" * 100), (1001, "ab" * 60), (1002, "a" * 300), (1003, "a" * 29), (1004, "a" * 30), (1005, None), (1006, ""), (1007, rows[5][1]), (1008, rows[5][1]), (None, rows[6][1]), (7, rows[7][1]), (1009, noise(40) * 5), (8, rows[9][1] + "tail"), (8, "x" + rows[10][1])]
     return rows
 
 
-@pytest.mark.parametrize("most_cells,gram", [(spans.MOST_CELLS, 12), (1 << 16, 20), (64, 12)])
-def test_against_brute_force(spark, most_cells, gram):
+@pytest.mark.parametrize("how,gram", [({}, 12), ({"slice_anchors": 100}, 20), ({"slice_anchors": 40, "cells_per_anchor": 0, "group_rows": 1, "hot_rows": 20}, 12), ({"group_rows": 3}, 6)])
+def test_against_brute_force(spark, how, gram):
     rows = made()
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA).repartition(5)
-    got = {r.doc_id: r.shared_chars for r in spans.shared(df, length=30, gram=gram, most_cells=most_cells).collect()}
+    got = {r.doc_id: r.shared_chars for r in spans.shared(df, length=30, gram=gram, **how).collect()}
     assert got == brute(rows, 30)
 
 
@@ -62,12 +61,3 @@ def test_anchors_are_those_of_equal_windows():
     span = "".join(rng.choice("abcd ") for _ in range(200))
     a, b = "x" * 500 + span + "y" * 90, "q" + span + "r" * 7
     assert set(spans.anchors(a, 200, 80)) & set(spans.anchors(b, 200, 80))
-
-
-def test_windows_over_batches():
-    rows = [(1, 1, 5, 0), (1, 1, 5, 9), (1, 1, 6, 2), (1, 1, 7, 3), (2, 1, 5, 1), (2, 1, 5, 2), (3, 0, 8, 1), (3, 0, 9, 4), (3, 1, 9, 6)]
-    whole = pd.DataFrame(rows, columns=["h1", "h2", "doc_id", "at"])
-    want = [(5, 0), (5, 9), (6, 2), (7, 3), (8, 1), (9, 4)]
-    for size in range(1, 10):
-        out = pd.concat(spans.of_several(iter([whole[i : i + size] for i in range(0, len(whole), size)])))
-        assert list(out.itertuples(index=False, name=None)) == want
