@@ -1,44 +1,48 @@
 """The most similar vectors of every vector, by cross-polytope hashing.
 
-Unit vectors go through pseudo-rotations (three rounds of random signs and a fast Hadamard transform). Each run of AXES
-rotated coordinates is a table: a vector's bucket is the signed axis nearest to it. Every vector is stored in one
-bucket of a table and looks into its PROBES nearest ones. Within a bucket, 128 sign bits sort out far pairs, and the
-distinct pairs that are left are ranked by the exact cosine of the stored vectors.
+Unit vectors go through pseudo-rotations (rounds of random signs and a fast Hadamard transform). Each run of AXES
+rotated coordinates is a table: a vector stands in the buckets of the PROBES signed axes nearest to it, so two vectors
+are candidates if they share any. Within a bucket, BITS sign bits sort out far pairs, and the distinct pairs that are
+left are ranked by the exact cosine of the stored vectors. How many tables there are, and how many bits may differ,
+follows from the least cosine that is asked for: a pair of just that cosine is missed with a chance of about MISSED.
+
+It is one method at any size. A bucket of more than BUCKET_ROWS rows is compared by pairs of slices, a group each.
+With AXES = 128 a bucket holds about a 85th of a block in each table; depth takes so many runs of coordinates together,
+which makes buckets a power smaller for more tables, and changes no result but for the pairs that chance misses.
 
 Exact copies (same block, scope and vector) are one class: only the least id of it is hashed, and a class offers its
 least K + 1 ids, which are all that can be among the K most similar of any vector when ties go to the smaller id.
 
-That loses few pairs of a cosine it is tuned for, but most of a top ten that lies lower. nearest() is exact at any
-cosine: matrix products over tiles of a block, quadratic in the block.
+Below a cosine of LEAST the chance of a shared bucket is too small, and similar() asks for exact=True: nearest(), by
+matrix products over tiles of a block, quadratic in the block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators import skew
 from quern.tables import cut
 
 K = 10
 AXES = 128
-TABLES = 12
 PROBES = 3
 SEED = 20
-#: Of 128 sign bits, pairs differing in more are sorted out: at cosine 0.80 a pair differs in 26 +- 4.6 of them.
-BITS_APART = 46
+#: Chance that a pair of the least cosine shares no bucket; the least cosine of the hashed search; pairs it is simulated with.
+MISSED, LEAST, SIMULATED = 1e-4, 0.5, 20_000
+#: Sign bits, and how many standard deviations more than expected may differ.
+BITS, DEVIATIONS = 192, 4.6
 #: Pairs compared in memory at once.
 CHUNK = 2_000_000
-#: Rows of a bucket beyond which its stored rows are spread over several tasks. Such buckets are found by a frequent-
-#: items sketch that misses none holding over one 15,000th of all rows.
+#: Rows of a bucket beyond which it is cut into slices.
 BUCKET_ROWS = 50_000
-#: Vectors of one block beyond which a bucket is two axes of different coordinates instead of one, with as many more
-#: tables as that needs, so that buckets stay small as blocks grow.
-BLOCK_ROWS, MORE_TABLES = 2_000_000, 56
-TOP_BUCKETS, TRACKED = 4_000, 20_000
 #: Vectors of one tile of the exact search, and cosines it holds at once.
 TILE, CELLS = 8_192, 2_000_000
 
@@ -54,21 +58,25 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def rotations(unit: np.ndarray, seed: int) -> Iterator[np.ndarray]:
-    """Pseudo-rotations of the rows without end, the same ones for the same seed."""
+    """Pseudo-rotations of the rows without end, the same ones for the same seed: three rounds, then one more for each."""
     width = max(AXES, 1 << max(0, unit.shape[1] - 1).bit_length())
-    padded = np.zeros((len(unit), width), np.float32)
-    padded[:, : unit.shape[1]] = unit
+    x = np.zeros((len(unit), width), np.float32)
+    x[:, : unit.shape[1]] = unit
     rng = np.random.default_rng(seed)
+    turn = lambda: hadamard(x * rng.choice(np.array([-1, 1], np.float32), width))
+    x = turn()
+    x = turn()
     while True:
-        x = padded
-        for _ in range(3):
-            x = hadamard(x * rng.choice(np.array([-1, 1], np.float32), width))
+        x = turn()
         yield x
 
 
-def signs(turned: np.ndarray) -> np.ndarray:
-    """128 sign bits of each row as two words."""
-    return np.packbits(turned[:, :128] > 0, axis=1).view(np.uint64)
+def signs(turns: Iterator[np.ndarray]) -> np.ndarray:
+    """BITS sign bits of each row as words, from as many rotations as they take."""
+    parts = [next(turns) > 0]
+    while sum(p.shape[1] for p in parts) < BITS:
+        parts.append(next(turns) > 0)
+    return np.packbits(np.concatenate(parts, axis=1)[:, :BITS], axis=1).view(np.uint64).view(np.int64)
 
 
 def nearest_axes(x: np.ndarray, probes: int) -> np.ndarray:
@@ -80,6 +88,23 @@ def nearest_axes(x: np.ndarray, probes: int) -> np.ndarray:
     return 2 * top + (np.take_along_axis(x, top, 1) > 0)
 
 
+@lru_cache
+def tables_for(least: float, probes: int, depth: int) -> int:
+    """Tables after which a pair of that cosine has met with a chance of 1 - MISSED, by simulated rotated coordinates."""
+    rng = np.random.default_rng(SEED)
+    a, b = rng.normal(size=(2, SIMULATED, AXES))
+    b = least * a + np.sqrt(1 - least * least) * b
+    a, b = nearest_axes(a, probes), nearest_axes(b, probes)
+    meet = float((a[:, :, None] == b[:, None, :]).any((1, 2)).mean()) ** depth
+    return 1 if meet >= 1 else int(np.ceil(np.log(MISSED) / np.log(1 - meet)))
+
+
+def bits_apart(least: float) -> int:
+    """Sign bits in which a pair of that cosine may differ."""
+    share = np.arccos(min(least, 1.0)) / np.pi
+    return int(BITS * share + DEVIATIONS * np.sqrt(BITS * share * (1 - share)))
+
+
 def vectors(rows: DataFrame, *, id_col: str, vector: str, blocks: list[str], scope: str) -> DataFrame:
     """(id, block, scope, vec): usable rows. Null, empty, all-zero and non-finite vectors, null ids and null blocks take no part.
 
@@ -88,26 +113,19 @@ def vectors(rows: DataFrame, *, id_col: str, vector: str, blocks: list[str], sco
 
     def pack(batches):
         for pdf in batches:
-            out = []
-            for v in pdf["vec"]:
-                a = np.asarray(v, np.float32)
-                out.append(a.tobytes() if len(a) and np.isfinite(a).all() and a.any() else None)
-            yield pdf.assign(vec=pd.Series(out, dtype=object))
+            yield pdf.assign(vec=[np.asarray(v, np.float32).tobytes() for v in pdf["vec"]])
 
     good = F.lit(True)
     for c in [id_col, vector, *blocks]:
         good = good & F.col(c).isNotNull()
-    named = rows.where(good & ~F.exists(vector, lambda x: x.isNull())).select(*[F.col(c) for c in dict.fromkeys([id_col, vector, scope, *blocks])])
+    sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
+    named = rows.where(good & sound).select(*[F.col(c) for c in dict.fromkeys([id_col, vector, scope, *blocks])])
     named = named.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(*blocks, F.size(vector)).alias("block"), F.col(scope).cast("string").alias("scope"), F.col(vector).cast("array<float>").alias("vec"))
-    return named.mapInPandas(pack, "id long, block long, scope string, vec binary").where("vec is not null")
+    return named.mapInPandas(pack, "id long, block long, scope string, vec binary")
 
 
-def _hashed(reps: DataFrame, tables: int, probes: int, seed: int, double: bool = False) -> DataFrame:
-    """(key, stored, id, a, b): one row per table for the bucket a vector is stored in, and one per bucket it looks into.
-
-    A vector with a scope is stored under it and looks there and among those without one; one without a scope is
-    stored and looks among those without: every comparable pair meets.
-    """
+def _hashed(reps: DataFrame, tables: int, probes: int, depth: int, seed: int) -> DataFrame:
+    """(key, place, id, a, b, c): one row for each bucket a vector stands in, with its scope (0 for none) and sign bits."""
 
     def run(batches):
         for pdf in batches:
@@ -119,77 +137,73 @@ def _hashed(reps: DataFrame, tables: int, probes: int, seed: int, double: bool =
                 unit = np.frombuffer(b"".join(part["vec"]), np.float32).reshape(len(part), -1).astype(np.float64)
                 unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
                 ids, block = part["id"].to_numpy(), part["block"].to_numpy().view(np.uint64)
-                free = part["scope"].isna().to_numpy()
-                place = pd.util.hash_array(part["scope"].fillna("").to_numpy(object), categorize=True) | np.uint64(1)
+                place = pd.util.hash_array(part["scope"].fillna("").to_numpy(object), categorize=True) >> np.uint64(33) | np.uint64(1)
+                place = np.where(part["scope"].isna(), 0, place).astype(np.int32)
                 turns = rotations(unit, seed)
-                words = signs(next(turns))
-                a, b = words[:, 0].view(np.int64), words[:, 1].view(np.int64)
-                done = 0
-                while done < tables:
-                    x = next(turns)
-                    for j in range(0, x.shape[1] - AXES + 1, AXES):
-                        if done == tables:
-                            break
-                        axes = nearest_axes(x[:, j : j + AXES], probes).astype(np.uint64)
-                        other = nearest_axes(x[:, (np.arange(AXES) + j + AXES // 2) % x.shape[1]], 1)[:, 0].astype(np.uint64) if double else np.zeros(len(part), np.uint64)
-                        keys, stored, who = [], [], []
-                        for p in range(probes):
-                            for own in (True, False):
-                                rows = np.flatnonzero(~free) if own else np.arange(len(part))
-                                where = place[rows] if own else np.zeros(len(rows), np.uint64)
-                                key = block[rows] * np.uint64(0x9E3779B97F4A7C15) + where
-                                key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(done * 1024) + axes[rows, p] + (other[rows] << np.uint64(40))
-                                keys.append(key.view(np.int64))
-                                # the bucket a vector is stored in is the nearest of its home, scope or none
-                                stored.append(np.full(len(rows), p == 0) & (own | free[rows]))
-                                who.append(rows)
-                        rows = np.concatenate(who)
-                        yield pd.DataFrame({"key": np.concatenate(keys), "stored": np.concatenate(stored), "id": ids[rows], "a": a[rows], "b": b[rows]})
-                        done += 1
-
-    return reps.mapInPandas(run, "key long, stored boolean, id long, a long, b long")
-
-
-def _near(key: np.ndarray, salt: np.ndarray, stored: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, apart: int) -> Iterator[pd.DataFrame]:
-    """Pairs of a stored row and another row of its bucket that differ in few bits; rows are sorted by bucket, stored first."""
-    a, b = a.view(np.uint64), b.view(np.uint64)  # bits of a negative number would be counted of its absolute value
-    edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
-    size = np.diff(np.r_[edge, len(key)])
-    # of each bucket: every stored row against all rows after it
-    at = np.flatnonzero(stored)
-    bucket = np.searchsorted(edge, at, "right") - 1
-    count = edge[bucket] + size[bucket] - at - 1
+                a, b, c = signs(turns).T
+                x, at = next(turns), 0
+                for table in range(tables):
+                    axes = []
+                    for _ in range(depth):
+                        if at + AXES > x.shape[1]:
+                            x, at = next(turns), 0
+                        axes.append(nearest_axes(x[:, at : at + AXES], probes).astype(np.uint64))
+                        at += AXES
+                    for chosen in product(range(probes), repeat=depth):
+                        key = block + np.uint64(table + 1) * np.uint64(0x9E3779B97F4A7C15)
+                        for own, p in zip(axes, chosen):
+                            key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + own[:, p]
+                        key = (key ^ (key >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                        # keys that are equal by chance only add candidates
+                        yield pd.DataFrame({"key": (key >> np.uint64(32)).astype(np.uint32).view(np.int32), "place": place, "id": ids, "a": a, "b": b, "c": c})
+
+    return reps.mapInPandas(run, "key int, place int, id long, a long, b long, c long")
+
+
+def _near(rows: pd.DataFrame, apart: int) -> Iterator[pd.DataFrame]:
+    """Pairs of comparable rows of a bucket that differ in few bits; rows are sorted by bucket, then scope, none first."""
+    key, salt, place, ids = (rows[c].to_numpy() for c in ("key", "salt", "place", "id"))
+    words = [rows[c].to_numpy().copy().view(np.uint64) for c in "abc"]  # bits of a negative number would be counted of its absolute value
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
+    edge, group = np.flatnonzero(fresh), np.flatnonzero(fresh | np.r_[True, place[1:] != place[:-1]])
+    at = np.arange(len(key))
+    # a row without a scope meets all after it in the bucket, one with a scope those of its own
+    end = np.where(place == 0, np.r_[edge[1:], len(key)][np.searchsorted(edge, at, "right") - 1], np.r_[group[1:], len(key)][np.searchsorted(group, at, "right") - 1])
+    count = end - at - 1
     start = 0
     while start < len(at):
         total = np.cumsum(count[start:])
-        end = start + max(1, int(np.searchsorted(total, CHUNK, "right")))
-        first = at[start:end]
-        for lo in range(0, max(1, int(count[start:end].max(initial=0))), CHUNK):  # one long bucket goes in pieces
-            n = np.clip(count[start:end] - lo, 0, CHUNK)
-            left = np.repeat(first, n)
-            right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + left + 1 + lo
-            close = np.bitwise_count(a[left] ^ a[right]).astype(np.int16) + np.bitwise_count(b[left] ^ b[right]) <= apart
-            x, y = ids[left[close]], ids[right[close]]
-            pair = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-            yield pair[pair["a"] < pair["b"]].drop_duplicates()
-        start = end
-
-
-def _spread(hashed: DataFrame, bucket_rows: int) -> DataFrame:
-    """Rows with a salt: of a crowded bucket each stored row is stored in one salt, and every row looks into all."""
-    top = hashed.select(F.expr(f"approx_top_k(key, {TOP_BUCKETS}, {TRACKED})").alias("top")).select(F.inline("top")).where(F.col("count") > bucket_rows)
-    crowded = cut(top.select(F.col("item").alias("key"), F.ceil(F.col("count") / bucket_rows).cast("int").alias("salts")), "crowded")
-    if crowded.isEmpty():
-        return hashed.withColumn("salt", F.lit(0))
-    spread = hashed.join(F.broadcast(crowded), "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))  # at most TOP_BUCKETS rows
-    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    return spread.withColumn("stored", F.col("stored") & (F.col("salt") == F.pmod(F.xxhash64("id"), F.col("salts")))).drop("salts")
-
-
-def candidates(reps: DataFrame, *, tables: int = TABLES, probes: int = PROBES, seed: int = SEED, apart: int = BITS_APART, bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b), a < b: distinct pairs of ids that share a bucket and differ in at most apart sign bits."""
-    double = not reps.groupBy("block").count().where(F.col("count") > block_rows).isEmpty()
-    tables = max(tables, MORE_TABLES) if double else tables
+        stop = start + max(1, int(np.searchsorted(total, CHUNK, "right")))
+        n = count[start:stop]
+        left = np.repeat(at[start:stop], n)
+        right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + left + 1
+        differ = np.zeros(len(left), np.int16)
+        for w in words:
+            differ += np.bitwise_count(w[left] ^ w[right])
+        close = differ <= apart
+        x, y = ids[left[close]], ids[right[close]]
+        pair = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        yield pair[pair["a"] < pair["b"]].drop_duplicates()
+        start = stop
+
+
+def _sliced(hashed: DataFrame, bucket_rows: int) -> DataFrame:
+    """Rows with a salt: a bucket of more than bucket_rows rows is cut into slices, and each two of them are one salt's rows.
+
+    Which buckets are, is counted exactly. As hot keys they are at most skew.MOST_HOT, each of over so large a share
+    of the rows; a slice of those holds that share.
+    """
+    hot = cut(skew.hot_keys(hashed.groupBy("key").agg(F.count("*").alias("n")), ["key"], hot_rows=bucket_rows), "crowded")
+    spread = hashed.join(F.broadcast(hot), "key", "left").withColumn("slices", F.coalesce("salts", F.lit(1)))  # at most skew.MOST_HOT rows
+    mine = F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")
+    with_ = F.explode(F.when(F.col("slices") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("slices") - 1), lambda i: i != F.col("slice"))))
+    spread = spread.withColumn("slice", mine).withColumn("with", with_)
+    return spread.withColumn("salt", F.least("slice", "with") * F.col("slices") + F.greatest("slice", "with")).select(*hashed.columns, "salt")
+
+
+def candidates(reps: DataFrame, *, least: float = 0.8, tables: int | None = None, probes: int = PROBES, depth: int = 1, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(a, b), a < b: distinct pairs of ids that share a bucket and differ in few sign bits."""
+    apart = bits_apart(least)
 
     def run(batches):
         held = None
@@ -200,33 +214,41 @@ def candidates(reps: DataFrame, *, tables: int = TABLES, probes: int = PROBES, s
             last = (pdf["key"].to_numpy() == pdf["key"].iloc[-1]) & (pdf["salt"].to_numpy() == pdf["salt"].iloc[-1])
             held, whole = pdf[last], pdf[~last]  # a bucket may go on in the next batch
             if len(whole):
-                yield from _near(*(whole[c].to_numpy().copy() for c in ("key", "salt", "stored", "id", "a", "b")), apart)
+                yield from _near(whole, apart)
         if held is not None and len(held):
-            yield from _near(*(held[c].to_numpy().copy() for c in ("key", "salt", "stored", "id", "a", "b")), apart)
+            yield from _near(held, apart)
 
-    hashed = _spread(cut(_hashed(reps, tables, probes, seed, double), "hashed"), bucket_rows)
-    return hashed.repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("stored")).mapInPandas(run, "a long, b long").distinct()
+    hashed = _sliced(cut(_hashed(reps, tables or tables_for(least, probes, depth), probes, depth, seed), "hashed"), bucket_rows)
+    return hashed.repartition("key", "salt").sortWithinPartitions("key", "salt", "place").mapInPandas(run, "a long, b long").distinct()
 
 
 def _cosines(pairs: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             value = np.empty(len(pdf))
-            for i, (x, y) in enumerate(zip(pdf["vec_a"], pdf["vec_b"])):
-                p, q = np.frombuffer(x, np.float32).astype(np.float64), np.frombuffer(y, np.float32).astype(np.float64)
-                value[i] = p @ q / np.sqrt((p @ p) * (q @ q))
+            lengths = pdf["vec_a"].str.len().to_numpy()
+            for length in np.unique(lengths):
+                of = np.flatnonzero(lengths == length)
+                x, y = (np.frombuffer(b"".join(pdf[c].iloc[of]), np.float32).reshape(len(of), -1).astype(np.float64) for c in ("vec_a", "vec_b"))
+                dot = lambda p, q: np.einsum("ij,ij->i", p, q)
+                value[of] = dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "cosine": value})
 
     return pairs.mapInPandas(run, "a long, b long, cosine double")
 
 
-def similar(rows: DataFrame, *, id_col: str = "id", vector: str = "embedding", blocks: tuple[str, ...] = ("embedding_model", "kind"), scope: str = "scope_key", k: int = K, least: float = 0.8, **how: int) -> DataFrame:
+def similar(rows: DataFrame, *, id_col: str = "id", vector: str = "embedding", blocks: tuple[str, ...] = ("embedding_model", "kind"), scope: str = "scope_key", k: int = K, least: float = 0.8, exact: bool = False, **how: int) -> DataFrame:
     """(id, other, cosine, place): for every usable row its most similar comparable rows, at most k, of cosine >= least.
 
     Rows are comparable if all block columns are equal and not null and the scopes are equal or one or both are null.
     place counts from 1, by falling cosine, ties to the smaller id. Ids are unique; of rows repeating an id any one
-    counts. Pairs of cosine 0.80 are found with a chance over 0.9999 each, closer ones more surely.
+    counts. Pairs of the least cosine are found with a chance over 1 - MISSED each, closer ones more surely. exact=True
+    compares all vectors of a block instead, and is the only way below a cosine of LEAST.
     """
+    if exact:
+        return nearest(rows, id_col=id_col, vector=vector, blocks=blocks, scope=scope, k=k).where(F.col("cosine") >= least)
+    if least < LEAST:
+        raise ValueError(f"hashing finds cosines of {LEAST} and over; exact=True finds any")
     named = cut(vectors(rows, id_col=id_col, vector=vector, blocks=list(blocks), scope=scope), "vectors")
     same = [F.col("block"), F.col("scope"), F.xxhash64("vec").alias("h1"), F.expr("md5(vec)").alias("h2")]
     copies = named.select("id", *same)
@@ -234,18 +256,19 @@ def similar(rows: DataFrame, *, id_col: str = "id", vector: str = "embedding", b
     # classes of one row need no list of copies
     many = cut(classes.where("n > 1"), "classes")
     same_class = F.concat_ws("|", F.col("block").cast("string"), F.coalesce(F.concat(F.lit("="), "scope"), F.lit("none")), F.col("h1").cast("string"), "h2").alias("same")
-    in_class = copies.select("id", same_class).join(many.select(same_class, "rep"), "same").select("id", "rep")
-    in_class = cut(in_class, "copies")
+    large = many.select(same_class, "rep", "n")
+    in_class = skew.spread_join(copies.select("id", same_class), large.select("same", "rep"), ["same"], skew.hot_keys(large.select("same", "n"), ["same"]), ["id"])
+    in_class = cut(in_class.select("id", "rep"), "copies")
     reps = named.join(in_class.where("id <> rep").select("id"), "id", "left_anti")
-    pairs = cut(candidates(reps, **how), "pairs")
+    pairs = cut(candidates(reps, least=least, **how), "pairs")
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     used = named.join(ends, "id", "left_semi").select("id", "block", "scope", "vec")
     left = used.select(F.col("id").alias("a"), F.col("block").alias("block_a"), F.col("scope").alias("scope_a"), F.col("vec").alias("vec_a"))
     right = used.select(F.col("id").alias("b"), F.col("block").alias("block_b"), F.col("scope").alias("scope_b"), F.col("vec").alias("vec_b"))
     comparable = (F.col("block_a") == F.col("block_b")) & ((F.col("scope_a") == F.col("scope_b")) | F.col("scope_a").isNull() | F.col("scope_b").isNull())
-    exact = _cosines(pairs.join(left, "a").join(right, "b").where(comparable).select("a", "b", "vec_a", "vec_b")).where(F.col("cosine") >= least)
-    exact = cut(exact, "cosines")
-    links = exact.select(F.col("a").alias("from"), F.col("b").alias("to"), "cosine").union(exact.select("b", "a", "cosine"))
+    near = _cosines(pairs.join(left, "a").join(right, "b").where(comparable).select("a", "b", "vec_a", "vec_b")).where(F.col("cosine") >= least)
+    near = cut(near, "cosines")
+    links = near.select(F.col("a").alias("from"), F.col("b").alias("to"), "cosine").union(near.select("b", "a", "cosine"))
     if not many.isEmpty():
         own = many.select(F.col("rep").alias("from"), F.col("rep").alias("to"), F.lit(1.0).alias("cosine"))
         # the least k + 1 ids of each class stand for it
@@ -254,10 +277,14 @@ def similar(rows: DataFrame, *, id_col: str = "id", vector: str = "embedding", b
         links = links.union(own).join(offered, "to", "left").select("from", F.coalesce("member", "to").alias("to"), "cosine")
         by_class = Window.partitionBy("from").orderBy(F.desc("cosine"), "to")
         links = links.withColumn("nth", F.row_number().over(by_class)).where(F.col("nth") <= k + 1).drop("nth")
-        seekers = in_class.select(F.col("rep").alias("from"), F.col("id").alias("seeker"))
-        links = links.join(seekers, "from", "left").select(F.coalesce("seeker", "from").alias("from"), "to", "cosine").where(F.col("from") != F.col("to"))
-    nearest = Window.partitionBy("from").orderBy(F.desc("cosine"), "to")
-    ranked = links.withColumn("place", F.row_number().over(nearest).cast("long")).where(F.col("place") <= k)
+        # every copy takes over the links of its class, one row of at most k + 1 of them
+        listed = links.groupBy("from").agg(F.collect_list(F.struct("to", "cosine")).alias("links"))
+        shared = listed.join(many.select(F.col("rep").alias("from")), "from", "left_semi").withColumnRenamed("from", "rep")
+        taken = skew.spread_join(in_class, shared, ["rep"], skew.hot_keys(many.select("rep", "n"), ["rep"]), ["id"])
+        own_links = links.join(many.select(F.col("rep").alias("from")), "from", "left_anti")
+        links = taken.select(F.col("id").alias("from"), F.inline("links")).unionByName(own_links).where(F.col("from") != F.col("to"))
+    best = Window.partitionBy("from").orderBy(F.desc("cosine"), "to")
+    ranked = links.withColumn("place", F.row_number().over(best).cast("long")).where(F.col("place") <= k)
     return ranked.select(F.col("from").alias("id"), F.col("to").alias("other"), "cosine", "place")
 
 

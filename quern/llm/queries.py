@@ -150,7 +150,7 @@ SQL = {
     "p2_cutoffs": f"""WITH {USABLE} SELECT g.kind, CAST(g.keep AS BIGINT) AS keep_permille, coalesce(s.n, 0) AS n, b.cutoff, CAST(coalesce(r.kept, 0) AS BIGINT) AS kept, coalesce(r.ties, 0) AS ties
       FROM goal g LEFT JOIN sized s ON s.kind = g.kind LEFT JOIN best b ON b.kind = g.kind LEFT JOIN reach r ON r.kind = g.kind AND r.value = b.cutoff""",
     "p4_found": f"WITH {NEAREST} SELECT DISTINCT least(x, y) AS memory_id_a, greatest(x, y) AS memory_id_b FROM ranked WHERE place <= 10 AND cosine >= 0.8",
-    "p4_similar": f"WITH {NEAREST} SELECT x AS memory_id, y AS other_id, round(cosine, 6) AS cosine, place FROM ranked WHERE place <= 10 AND cosine >= 0.8",
+    "p4_similar": f"WITH {NEAREST} SELECT x AS memory_id, y AS other_id, round(cosine, 6) AS cosine, place FROM ranked WHERE place <= 10",
     "p6_found": f"WITH {TALK} SELECT session_id FROM verdict WHERE reason <> ''",
     "p6_sessions": f"WITH {TALK} SELECT session_id, reason, messages FROM verdict",
     "p6_conversations": f"WITH {TALK} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY occurred_at, id) AS turn, role, id AS log_id, body FROM message WHERE session_id IN (SELECT session_id FROM verdict WHERE reason = '')",

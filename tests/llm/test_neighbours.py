@@ -31,14 +31,14 @@ def rows(seed=1, n=500):
     return out
 
 
-@pytest.mark.parametrize("bucket_rows,block_rows", [(neighbours.BUCKET_ROWS, neighbours.BLOCK_ROWS), (40, 100)])
-def test_against_brute_force(spark, bucket_rows, block_rows):
+@pytest.mark.parametrize("how", [{}, {"bucket_rows": 15}, {"depth": 2, "probes": 2}, {"depth": 2, "probes": 2, "bucket_rows": 15}])
+def test_against_brute_force(spark, how):
     data = rows()
     one = data[7]
     # a third of all rows are copies of one vector, in several scopes
     data += [(1000 + i, one[1], one[2], [None, "x", "y"][i % 3], one[4], "", "") for i in range(250)]
     data += [(2000, "0", "a", None, [0.0] * 96, "", ""), (2001, "0", "a", None, None, "", ""), (2002, None, "a", None, one[4], "", ""), (2003, "0", None, "x", one[4], "", ""), (2004, "0", "a", "x", [float("nan")] * 96, "", ""), (2005, "0", "a", "x", [], "", ""), (2006, "0", "a", "x", one[4][:50], "", ""), (None, "0", "a", "x", one[4], "", "")]
-    found = {(r.id, r.other): r.place for r in neighbours.similar(spark.createDataFrame(data, SCHEMA), bucket_rows=bucket_rows, block_rows=block_rows).collect()}
+    found = {(r.id, r.other): r.place for r in neighbours.similar(spark.createDataFrame(data, SCHEMA), **how).collect()}
     want = brute(data)
     assert not set(found) - set(want)
     assert len(found) >= 0.99 * len(want)
@@ -82,6 +82,41 @@ def test_recall_at_the_threshold(spark):
     assert len({(r.memory_id_a, r.memory_id_b) for r in found} & {(2 * i, 2 * i + 1) for i in range(400)}) >= 396
 
 
+@pytest.mark.parametrize("least", [0.5, 0.8])
+@pytest.mark.parametrize("how", [{}, {"depth": 2, "probes": 2}])
+def test_recall_of_pairs_of_just_the_least_cosine(least, how):
+    """At any least cosine the tables that are made and the bits that may differ keep nearly all pairs of it."""
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 3000, 384))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= np.einsum("ij,ij->i", a, b)[:, None] * a
+    b = least * a + np.sqrt(1 - least**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    probes, depth = how.get("probes", neighbours.PROBES), how.get("depth", 1)
+    both = np.concatenate([a, b]).astype(np.float32)
+    turns = neighbours.rotations(both, neighbours.SEED)
+    words = neighbours.signs(turns).copy().view(np.uint64)
+    apart = np.bitwise_count(words[:3000] ^ words[3000:]).sum(axis=1)
+    met, x, at = np.zeros(3000, bool), next(turns), 0
+    for _ in range(neighbours.tables_for(least, probes, depth)):
+        meets = np.ones(3000, bool)
+        for _ in range(depth):
+            if at + neighbours.AXES > x.shape[1]:
+                x, at = next(turns), 0
+            axes = neighbours.nearest_axes(x[:, at : at + neighbours.AXES], probes)
+            meets &= (axes[:3000, :, None] == axes[3000:, None, :]).any((1, 2))
+            at += neighbours.AXES
+        met |= meets
+    assert (met & (apart <= neighbours.bits_apart(least))).mean() > 0.99
+
+
+def test_exact_by_name_and_no_hashing_below(spark):
+    data = spark.createDataFrame(with_copies(), SCHEMA)
+    found = {(r.id, r.other): r.place for r in neighbours.similar(data, exact=True, least=0.0).collect()}
+    assert found == brute(with_copies(), least=0.0)
+    with pytest.raises(ValueError):
+        neighbours.similar(data, least=0.3)
+
+
 def test_empty(spark):
     assert neighbours.similar(spark.createDataFrame([], SCHEMA)).count() == 0
 
