@@ -43,6 +43,8 @@ BITS, DEVIATIONS = 192, 4.6
 CHUNK = 2_000_000
 #: Rows of a bucket beyond which it is cut into slices.
 BUCKET_ROWS = 50_000
+#: Pairs whose vectors one task holds.
+GROUP_PAIRS = 20_000
 #: Vectors of one tile of the exact search, and cosines it holds at once.
 TILE, CELLS = 8_192, 2_000_000
 
@@ -222,22 +224,44 @@ def candidates(reps: DataFrame, *, least: float = 0.8, tables: int | None = None
     return hashed.repartition("key", "salt").sortWithinPartitions("key", "salt", "place").mapInPandas(run, "a long, b long").distinct()
 
 
-def _cosines(pairs: DataFrame) -> DataFrame:
-    def run(batches):
-        for pdf in batches:
-            value = np.empty(len(pdf))
-            lengths = pdf["vec_a"].str.len().to_numpy()
-            for length in np.unique(lengths):
-                of = np.flatnonzero(lengths == length)
-                x, y = (np.frombuffer(b"".join(pdf[c].iloc[of]), np.float32).reshape(len(of), -1).astype(np.float64) for c in ("vec_a", "vec_b"))
-                dot = lambda p, q: np.einsum("ij,ij->i", p, q)
-                value[of] = dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "cosine": value})
+def _cosines(pairs: DataFrame, named: DataFrame, group_pairs: int) -> DataFrame:
+    """(a, b, cosine): the exact cosines of pairs that are comparable.
 
-    return pairs.mapInPandas(run, "a long, b long, cosine double")
-
-
-def similar(rows: DataFrame, *, id_col: str = "id", vector: str = "embedding", blocks: tuple[str, ...] = ("embedding_model", "kind"), scope: str = "scope_key", k: int = K, least: float = 0.8, exact: bool = False, **how: int) -> DataFrame:
+    A pair goes to the group of the least id that its a is paired with, so that the vectors of a cluster meet there once
+    each rather than once a pair. A group of more than group_pairs pairs is cut into tiles by both ends of its pairs.
+    """
+    both = pairs.union(pairs.select("b", "a"))
+    heads = both.groupBy("a").agg(F.least("a", F.min("b")).alias("head"))
+    grouped = cut(pairs.join(heads, "a"), "grouped")
+    hot = cut(skew.hot_keys(grouped.groupBy("head").agg(F.count("*").alias("n")), ["head"], hot_rows=group_pairs), "hot")
+    tiles = grouped.join(F.broadcast(hot), "head", "left").withColumn("side", F.ceil(F.sqrt(F.coalesce("salts", F.lit(1)))).cast("int"))  # at most skew.MOST_HOT rows
+    place = lambda c: F.pmod(F.xxhash64(c), F.col("side"))
+    tiles = cut(tiles.select("a", "b", "head", (place("a") * F.col("side") + place("b")).alias("tile")), "tiles")
+    needed = tiles.select("head", "tile", F.col("a").alias("id")).union(tiles.select("head", "tile", "b")).distinct()
+    sent = named.join(needed, "id").select(F.col("head").alias("to_head"), F.col("tile").alias("to_tile"), "id", "block", "scope", "vec")
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        y = y.drop_duplicates("id")
+        at = pd.Index(y["id"])
+        i, j = at.get_indexer(x["a"]), at.get_indexer(x["b"])
+        block, scope = y["block"].to_numpy(), pd.factorize(y["scope"])[0]  # -1 for none
+        good = (block[i] == block[j]) & ((scope[i] == scope[j]) | (scope[i] < 0) | (scope[j] < 0))
+        i, j = i[good], j[good]
+        value = np.empty(len(i))
+        lengths = y["vec"].str.len().to_numpy()
+        for length in np.unique(lengths):
+            of = np.flatnonzero(lengths == length)
+            v = np.frombuffer(b"".join(y["vec"].iloc[of]), np.float32).reshape(len(of), -1).astype(np.float64)
+            mine = lengths[i] == length  # a block has one length
+            p, q = v[np.searchsorted(of, i[mine])], v[np.searchsorted(of, j[mine])]
+            dot = lambda p, q: np.einsum("ij,ij->i", p, q)
+            value[mine] = dot(p, q) / np.sqrt(dot(p, p) * dot(q, q))
+        return pd.DataFrame({"a": x["a"].to_numpy()[good], "b": x["b"].to_numpy()[good], "cosine": value})
+
+    return tiles.groupBy("head", "tile").cogroup(sent.groupBy("to_head", "to_tile")).applyInPandas(run, "a long, b long, cosine double")
+
+
+def similar(rows: DataFrame, *, id_col: str = "id", vector: str = "embedding", blocks: tuple[str, ...] = ("embedding_model", "kind"), scope: str = "scope_key", k: int = K, least: float = 0.8, exact: bool = False, group_pairs: int = GROUP_PAIRS, **how: int) -> DataFrame:
     """(id, other, cosine, place): for every usable row its most similar comparable rows, at most k, of cosine >= least.
 
     Rows are comparable if all block columns are equal and not null and the scopes are equal or one or both are null.
@@ -261,12 +285,7 @@ def similar(rows: DataFrame, *, id_col: str = "id", vector: str = "embedding", b
     in_class = cut(in_class.select("id", "rep"), "copies")
     reps = named.join(in_class.where("id <> rep").select("id"), "id", "left_anti")
     pairs = cut(candidates(reps, least=least, **how), "pairs")
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    used = named.join(ends, "id", "left_semi").select("id", "block", "scope", "vec")
-    left = used.select(F.col("id").alias("a"), F.col("block").alias("block_a"), F.col("scope").alias("scope_a"), F.col("vec").alias("vec_a"))
-    right = used.select(F.col("id").alias("b"), F.col("block").alias("block_b"), F.col("scope").alias("scope_b"), F.col("vec").alias("vec_b"))
-    comparable = (F.col("block_a") == F.col("block_b")) & ((F.col("scope_a") == F.col("scope_b")) | F.col("scope_a").isNull() | F.col("scope_b").isNull())
-    near = _cosines(pairs.join(left, "a").join(right, "b").where(comparable).select("a", "b", "vec_a", "vec_b")).where(F.col("cosine") >= least)
+    near = _cosines(pairs, named, group_pairs).where(F.col("cosine") >= least)
     near = cut(near, "cosines")
     links = near.select(F.col("a").alias("from"), F.col("b").alias("to"), "cosine").union(near.select("b", "a", "cosine"))
     if not many.isEmpty():

@@ -31,7 +31,7 @@ def rows(seed=1, n=500):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"bucket_rows": 15}, {"depth": 2, "probes": 2}, {"depth": 2, "probes": 2, "bucket_rows": 15}])
+@pytest.mark.parametrize("how", [{}, {"bucket_rows": 15, "group_pairs": 10}, {"depth": 2, "probes": 2}, {"depth": 2, "probes": 2, "bucket_rows": 15}])
 def test_against_brute_force(spark, how):
     data = rows()
     one = data[7]
