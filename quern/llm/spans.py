@@ -34,6 +34,9 @@ LENGTH = 200
 GRAM = 80
 #: Anchors of one slice of the hash space, and cells of a row of its sketch for each; rows of a sketch.
 SLICE_ANCHORS, CELLS_PER_ANCHOR, ROWS = 1_000_000, 8, 2
+#: Most bits of a bitmap that goes to every worker (8 MB), bits for each value, and those that are merged at once. A bitmap
+#: that the input has outgrown lets more rows go on to the exact join behind it, and loses none.
+MOST_BITS, BITS_PER_VALUE, BLOCK = 1 << 26, 16, 1 << 19
 #: Different runs of one anchor beyond which its windows are grouped by Spark rather than within one task.
 GROUP_ROWS = 20_000
 LOW = np.uint64(0xFFFFFFFF)
@@ -179,6 +182,55 @@ def likely_repeated(listed: DataFrame, slices: int, width: int) -> DataFrame:
     return parted.repartition("slice").sortWithinPartitions("slice").mapInPandas(told, "anchor long").distinct()
 
 
+def places(values: np.ndarray, width: int) -> np.ndarray:
+    """The bit of each value in a bitmap of that many bits, a power of two."""
+    return ((values.view(np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(24) & np.uint64(width - 1)).astype(np.int64)
+
+
+def bitmap(values: DataFrame, most_bits: int) -> np.ndarray:
+    """Packed bits of the values (a column v): merged by tasks in blocks, and at most most_bits / 8 bytes here."""
+    width = min(most_bits, max(1 << 12, 1 << (BITS_PER_VALUE * values.count()).bit_length()))
+    block = min(BLOCK, width)
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(width, bool)
+        for pdf in batches:
+            bits[places(pdf["v"].to_numpy(), width)] = True
+        parts = bits.reshape(-1, block)
+        there = np.flatnonzero(parts.any(axis=1))
+        if len(there):
+            yield pd.DataFrame({"block": there, "bits": [np.packbits(parts[i]).tobytes() for i in there]})
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for at, bits in zip(pdf["block"], pdf["bits"]):
+                new = np.frombuffer(bits, np.uint8)
+                held[at] = held[at] | new if at in held else new
+        if held:
+            yield pd.DataFrame({"block": list(held), "bits": [b.tobytes() for b in held.values()]})
+
+    kind = "block long, bits binary"
+    out = np.zeros(width // 8, np.uint8)
+    for r in values.mapInPandas(local, kind).repartition("block").mapInPandas(merged, kind).toLocalIterator():
+        out[r["block"] * (block // 8) :][: block // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def maybe(rows: DataFrame, column: str, values: DataFrame, most_bits: int) -> DataFrame:
+    """rows less those whose column (a long) is surely not among values (a column v)."""
+    held = rows.sparkSession.sparkContext.broadcast(bitmap(values, most_bits))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = places(pdf[column].to_numpy(), len(held.value) * 8)
+            keep = (held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            if keep.any():
+                yield pdf[keep]
+
+    return rows.mapInPandas(run, rows.schema)
+
+
 def shared_windows(texts: list[str], leads: list[int], least: list[int], greatest: list[int], length: int) -> list[list[int]]:
     """Of each run of one anchor the windows, counted from its first one, that stand in two documents, by their text.
 
@@ -234,7 +286,7 @@ def _partly(contexts: DataFrame, length: int, group_rows: int) -> DataFrame:
     return inside.unionByName(many.join(twice, key, "left_semi").groupBy(*RUN).agg(F.collect_list("window").alias("windows")))
 
 
-def shared(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, slice_anchors: int = SLICE_ANCHORS, cells_per_anchor: int = CELLS_PER_ANCHOR, group_rows: int = GROUP_ROWS, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def shared(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, slice_anchors: int = SLICE_ANCHORS, cells_per_anchor: int = CELLS_PER_ANCHOR, group_rows: int = GROUP_ROWS, most_bits: int = MOST_BITS, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """(doc_id, shared_chars, runs): of each text that shares a span of length characters or more with another doc_id.
 
     shared_chars counts the characters that lie in some such span, runs their connected stretches. Nothing is
@@ -259,14 +311,17 @@ def shared(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     width = 1 << max(6, int(cells_per_anchor * total / slices).bit_length())
     likely = cut(likely_repeated(every, slices, width), "likely")
     # each anchor meets one row; where an anchor has a large share of the runs Spark's skew join splits its side
-    repeated = cut(every.join(likely, "anchor", "left_semi"), "repeated")
+    some = maybe(every, "anchor", likely.select(F.col("anchor").alias("v")), most_bits)
+    repeated = cut(some.join(likely, "anchor", "left_semi"), "repeated")
     different = repeated.groupBy(*RUN).agg(F.min(F.struct("doc_id", "of", "at")).alias("rep"), F.max("doc_id").alias("b"), F.count("*").alias("rows"))
     different = cut(different.select(*RUN, "rep.*", F.col("rep.doc_id").alias("a"), "b", "rows"), "different")
     # runs that stand in one text only, of anchors that others have too, and those others
     mixed = different.groupBy("anchor").agg(F.count("*").alias("m"), F.max(F.col("a") == F.col("b")).alias("alone")).where("m > 1 and alone").select("anchor", "m")
     ends = different.join(mixed, "anchor")
     asked = ends.groupBy("doc_id", "of").agg(F.collect_list(F.struct(*RUN, "at", "a", "b", "m")).alias("asked"))
-    cut_out = named.join(asked, ["doc_id", "of"]).select("text", F.explode("asked").alias("run")).select("run.*", F.expr(f"substring(text, run.at + 1, run.n + {length - 1})").alias("context"))
+    asked = cut(asked, "asked")
+    some_texts = maybe(named.select("doc_id", "of", "text"), "of", asked.select(F.col("of").alias("v")), most_bits)
+    cut_out = some_texts.join(asked, ["doc_id", "of"]).select("text", F.explode("asked").alias("run")).select("run.*", F.expr(f"substring(text, run.at + 1, run.n + {length - 1})").alias("context"))
     partly = _partly(cut_out.dropDuplicates(RUN), length, group_rows)
     whole = different.where("a < b").select(*RUN, F.lit(None).cast("array<int>").alias("windows"))
     partly = partly.join(different.where("a = b").select(*RUN), RUN, "left_semi")

@@ -44,7 +44,7 @@ def made(seed=3, n=120):
     return rows
 
 
-@pytest.mark.parametrize("how,gram", [({}, 12), ({"slice_anchors": 100}, 20), ({"slice_anchors": 40, "cells_per_anchor": 0, "group_rows": 1, "hot_rows": 20}, 12), ({"group_rows": 3}, 6)])
+@pytest.mark.parametrize("how,gram", [({}, 12), ({"slice_anchors": 100}, 20), ({"slice_anchors": 40, "cells_per_anchor": 0, "group_rows": 1, "hot_rows": 20}, 12), ({"group_rows": 3, "most_bits": 1 << 12}, 6)])
 def test_against_brute_force(spark, how, gram):
     rows = made()
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA).repartition(5)
