@@ -238,27 +238,49 @@ def _cosines(pairs: DataFrame, named: DataFrame, group_pairs: int) -> DataFrame:
     place = lambda c: F.pmod(F.xxhash64(c), F.col("side"))
     tiles = cut(tiles.select("a", "b", "head", (place("a") * F.col("side") + place("b")).alias("tile")), "tiles")
     needed = tiles.select("head", "tile", F.col("a").alias("id")).union(tiles.select("head", "tile", "b")).distinct()
-    sent = named.join(needed, "id").select(F.col("head").alias("to_head"), F.col("tile").alias("to_tile"), "id", "block", "scope", "vec")
-
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        y = y.drop_duplicates("id")
-        at = pd.Index(y["id"])
-        i, j = at.get_indexer(x["a"]), at.get_indexer(x["b"])
-        block, scope = y["block"].to_numpy(), pd.factorize(y["scope"])[0]  # -1 for none
-        good = (block[i] == block[j]) & ((scope[i] == scope[j]) | (scope[i] < 0) | (scope[j] < 0))
-        i, j = i[good], j[good]
-        value = np.empty(len(i))
-        lengths = y["vec"].str.len().to_numpy()
-        for length in np.unique(lengths):
-            of = np.flatnonzero(lengths == length)
-            v = np.frombuffer(b"".join(y["vec"].iloc[of]), np.float32).reshape(len(of), -1).astype(np.float64)
-            mine = lengths[i] == length  # a block has one length
-            p, q = v[np.searchsorted(of, i[mine])], v[np.searchsorted(of, j[mine])]
-            dot = lambda p, q: np.einsum("ij,ij->i", p, q)
-            value[mine] = dot(p, q) / np.sqrt(dot(p, p) * dot(q, q))
-        return pd.DataFrame({"a": x["a"].to_numpy()[good], "b": x["b"].to_numpy()[good], "cosine": value})
-
-    return tiles.groupBy("head", "tile").cogroup(sent.groupBy("to_head", "to_tile")).applyInPandas(run, "a long, b long, cosine double")
+    none = lambda kind: F.lit(None).cast(kind)
+    sent = named.join(needed, "id").select("head", "tile", F.lit(False).alias("pair"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), "block", "scope", "vec")
+    wanted = tiles.select("head", "tile", F.lit(True).alias("pair"), "a", "b", F.lit(0).cast("long").alias("block"), none("string").alias("scope"), none("binary").alias("vec"))
+    along = ["head", "tile", "pair", "a"]
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = ((pdf["head"] == pdf["head"].iloc[-1]) & (pdf["tile"] == pdf["tile"].iloc[-1])).to_numpy()
+            held, whole = pdf[last], pdf[~last]  # a group may go on in the next batch
+            if len(whole):
+                yield _measured(whole)
+        if held is not None:
+            yield _measured(held)
+
+    met = sent.unionByName(wanted).repartition("head", "tile").sortWithinPartitions(*along)
+    return met.mapInPandas(run, "a long, b long, cosine double")
+
+
+def _measured(rows: pd.DataFrame) -> pd.DataFrame:
+    """(a, b, cosine) of the comparable pairs of whole groups, whose vectors come before their pairs, by id."""
+    group = np.cumsum(np.r_[0, (rows["head"].to_numpy()[1:] != rows["head"].to_numpy()[:-1]) | (rows["tile"].to_numpy()[1:] != rows["tile"].to_numpy()[:-1])])
+    pair = rows["pair"].to_numpy(bool)
+    y, x = rows[~pair], rows[pair]
+    at = pd.MultiIndex.from_arrays([group[~pair], y["a"]])
+    first = ~at.duplicated()
+    y, at = y[first], at[first]
+    i, j = (at.get_indexer(pd.MultiIndex.from_arrays([group[pair], x[c]])) for c in "ab")
+    block, scope = y["block"].to_numpy(), pd.factorize(y["scope"])[0]  # -1 for none
+    good = (block[i] == block[j]) & ((scope[i] == scope[j]) | (scope[i] < 0) | (scope[j] < 0))
+    i, j = i[good], j[good]
+    value = np.empty(len(i))
+    lengths = y["vec"].str.len().to_numpy()
+    for length in np.unique(lengths):
+        of = np.flatnonzero(lengths == length)
+        v = np.frombuffer(b"".join(y["vec"].iloc[of]), np.float32).reshape(len(of), -1).astype(np.float64)
+        mine = lengths[i] == length  # a block has one length
+        p, q = v[np.searchsorted(of, i[mine])], v[np.searchsorted(of, j[mine])]
+        value[mine] = np.einsum("ij,ij->i", p, q) / np.sqrt(np.einsum("ij,ij->i", p, p) * np.einsum("ij,ij->i", q, q))
+    return pd.DataFrame({"a": x["a"].to_numpy()[good], "b": x["b"].to_numpy()[good], "cosine": value})
 
 
 def similar(rows: DataFrame, *, id_col: str = "id", vector: str = "embedding", blocks: tuple[str, ...] = ("embedding_model", "kind"), scope: str = "scope_key", k: int = K, least: float = 0.8, exact: bool = False, group_pairs: int = GROUP_PAIRS, **how: int) -> DataFrame:
