@@ -7,8 +7,9 @@ its edges join neighbours along the text and, however far apart, candidates that
 that a text labels them alike. Inference is loopy belief propagation; the weights are fitted by pseudo-likelihood on
 TRAIN_TEXTS labelled texts that are made here from a seed, since no labelled rows are given.
 
-Names outside the given list are learned from all texts: a word that is mostly followed by different known family
-names is a given name, and the other way round.
+Any two words written as names are a candidate, whether listed or not. What all texts tell of a word is a feature of
+its candidates and no gate: words that mostly stand before known family names look like given names, and the other way
+round. All such words are kept, as bits of bitmaps of a fixed size, so that none is cut off by their number.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from quern.tables import cut
 
 #: Labelled texts the field is fitted on, its seed, and rounds of message passing.
 TRAIN_TEXTS, SEED, ROUNDS = 3000, 11, 6
-#: A learned name stands with so many different known partners, which are so large a share of its pairs; most words learned.
-PARTNERS, PARTNER_SHARE, MOST_LEARNED = 3, 0.5, 10_000
+#: A learned word stands with known partners in so large a share of its pairs: strongly with so many different ones,
+#: weakly with one. Bits of each of the four bitmaps of such words; a word that is taken for one by chance has a feature
+#: too many, and the share of those is the number of learned words over the bits.
+PARTNERS, PARTNER_SHARE, LEARNED_BITS = 3, 0.5, 1 << 24
 TYPES = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {t: f"[{t.upper()}]" for t in TYPES}
 
@@ -52,7 +55,8 @@ LABEL = (
 )
 VALUE = r"\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{3} \d{3} \d{3} \d{2}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]{1,2}\d{6,8}[A-Z]?|[XYZ]?\d{7,8}-?[A-Z]|[A-Z][0-9A-Z]{8}|\d{9,12}"
 ID_NUMBER = re.compile(rf"(?i:\b(?P<label>{LABEL}))\.?\s?[:=#]?\s?(?P<value>{VALUE})(?![\w-])|(?P<bare>\d{{3}}-\d{{2}}-\d{{4}}|\d{{3}}\.\d{{3}}\.\d{{3}}-\d{{2}})(?![\w-])")
-ID_SIGNS = ("ssn", "social", "passport", "national", "insurance", "ni n", "dni", "nie", "nif", "cpf", "ausweis", "reisepass", "steuer", "tax id", "id card", "id n", "identité", "sécu")
+#: One of these stands in every text with a LABEL.
+ID_SIGNS = ("ssn", "social", "national id", "nat ins", "nat insurance", "insurance", "ni no", "ni number", "nino", "passport", "reisepass", "ausweis", "dni", "nie", "nif", "cpf", "steuer", "tax id", "id card", "id no", "id number", "carte d", "sécu")
 SUFFIX = r"(?:street|st|road|rd|avenue|ave|lane|ln|court|ct|crescent|cres|terrace|close|boulevard|blvd|drive|square|sq)"
 WORD = r"[^\W\d_][^\W\d_'’]*"
 UNIT = r"(?:unit|flat|apt|apartment|suite|whg|wohnung|apto|piso)\.? ?\d{1,4}[a-z]?,?\s"
@@ -60,10 +64,17 @@ NUMBERED = re.compile(rf"(?:{UNIT})?\d{{1,4}}[a-z]?\s(?:st\.? )?{WORD}(?:[ ]{WOR
 RUE = re.compile(rf"(?:{UNIT})?\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|quai) (?:de la |de l'|des |de |du )?(?:st\. )?{WORD}(?: {WORD})?", re.I)
 CALLE = re.compile(rf"\b(?:calle|avenida|plaza|paseo) (?:de la |de los |del |de )?(?:st\. )?{WORD}(?: {WORD}){{0,2}},? \d{{1,4}}[a-z]?\b", re.I)
 GASSE = re.compile(r"[^\W\d_-][\w-]*(?:gasse|straße|strasse|weg|platz|allee) \d{1,4}[a-z]?\b", re.I)
-FUNCTION_WORDS = {"the", "a", "an", "and", "or", "of", "in", "to", "for", "on", "with", "while", "waits", "rows", "files", "than", "before", "after"}
+FUNCTION_WORDS = {"the", "a", "an", "and", "or", "of", "in", "to", "for", "on", "with", "while", "than", "before", "after", "is", "are", "was", "at", "by", "from"}
+#: Words that start sentences and titles.
+STARTERS = FUNCTION_WORDS | {"this", "that", "these", "those", "it", "we", "you", "they", "he", "she", "see", "use", "read", "run", "add", "new", "old", "no", "not", "all", "if", "when", "then", "please", "open", "close", "fix", "set", "get", "our", "your", "their", "its", "as", "so", "but", "most", "each", "every", "both", "which", "what", "how", "why"}
 SEPARATOR = r"[ \u00a0\u202f]"
 WORDS = re.compile(r"[^\W\d_]{2,}")
 PART = r"[^\W\d_]{2,}(?:-[^\W\d_]{2,})?"
+#: Letters that may start a name, a few small ones among them.
+UPPER = "A-ZÀ-ÖØ-ÞĀ-žΑ-ΩА-Я"
+CAPITAL = rf"[{UPPER}][^\W\d_]+(?:-[^\W\d_]{{2,}})?"
+STRAIGHT_CAPITAL = re.compile(rf"(?<![\w@.+-])(?P<given>(?:[{UPPER}]\.|{CAPITAL}))(?P<middle>{SEPARATOR}[^\W\d_]\.)?[ \u00a0\u202f\n](?P<family>{CAPITAL})(?![\w@])")
+TURNED_CAPITAL = re.compile(rf"(?<![\w@.+-])(?P<family>{CAPITAL}),?{SEPARATOR}(?P<given>[{UPPER}]\.|{CAPITAL})(?![\w@])")
 STRAIGHT = re.compile(rf"(?<![\w@.+-])(?P<given>(?:[^\W\d_]\.|{PART}))(?P<middle>{SEPARATOR}[^\W\d_]\.)?[ \u00a0\u202f\n](?P<family>{PART})(?![\w@])")
 TURNED = re.compile(rf"(?<![\w@.+-])(?P<family>{PART}),?{SEPARATOR}(?P<given>[^\W\d_]\.|[^\W\d_]{{2,}})(?![\w@])")
 
@@ -73,17 +84,58 @@ def plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
 
 
+#: Given and family names that are common in several countries.
+COMMON_GIVEN = "james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan thomas sarah maria anna peter paul laura julia daniel emma lucas sofia carlos jose juan luis ana carmen pierre marie jean claire hans klaus karin stefan giulia marco francesca luca ivan olga elena ahmed fatima omar priya rahul wei mei yuki kenji".split()
+COMMON_FAMILY = "smith johnson williams brown jones garcia miller davis rodriguez martinez hernandez lopez gonzalez wilson anderson taylor moore jackson martin lee thompson white harris clark lewis robinson walker young allen wright scott torres nguyen hill flores muller schmidt schneider fischer weber meyer wagner becker dubois durand moreau rossi russo ferrari ivanov petrov kumar singh patel khan tanaka suzuki chen wang kim park silva santos".split()
+
+
+def bits_of(word: str, width: int) -> int:
+    """The bit of a word in a bitmap of that many bits, as the JVM's xxhash64 gives it."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42) & (width - 1)
+
+
 class Names:
-    """The known and learned name words by role."""
+    """What is known of name words by role: listed, common, or learned from the texts, strongly or weakly."""
 
-    def __init__(self, given: set[str], family: set[str], more_given: set[str] = frozenset(), more_family: set[str] = frozenset()):
+    def __init__(self, given: set[str], family: set[str], more_given: set[str] = frozenset(), more_family: set[str] = frozenset(), learned: dict[tuple[str, str], np.ndarray] | None = None):
         self.given, self.family = {g.lower() for g in given}, {f.lower() for f in family}
-        self.given_status = {w.lower(): "learned" for w in more_given} | {w: "listed" for w in self.given}
-        self.family_status = {w.lower(): "learned" for w in more_family} | {w: "listed" for w in self.family}
-        for status in (self.given_status, self.family_status):
-            for w in list(status):
-                status.setdefault(plain(w), status[w])
-        self.families = set(self.family_status)
+        self.learned = learned or {}
+        self.known = {}
+        for role, listed, more, common in (("given", self.given, more_given, COMMON_GIVEN), ("family", self.family, more_family, COMMON_FAMILY)):
+            of = dict.fromkeys(common, "common") | {w.lower(): "strong" for w in more} | dict.fromkeys(listed, "listed")
+            for w in list(of):
+                of.setdefault(plain(w), of[w])
+            self.known[role] = of
+        self.small: dict[str, bool] = {}
+
+    def may_be_small(self, words: list[str]) -> bool:
+        """Whether one of these words in small letters may be of a name: it is listed, common or strongly told of."""
+        for w in words:
+            found = self.small.get(w)
+            if found is None:
+                if len(self.small) > 500_000:
+                    self.small.clear()
+                found = self.small[w] = any(self.status(w, role) in ("listed", "common", "strong") for role in ("given", "family"))
+            if found:
+                return True
+        return False
+
+    def status(self, word: str, role: str) -> str:
+        low = word.lower()
+        if low in STARTERS:
+            return "unknown"
+        of = self.known[role]
+        found = of.get(low) or (None if low.isascii() else of.get(plain(low)))
+        if found is None:
+            for strength in ("strong", "weak"):
+                bits = self.learned.get((role, strength))
+                if bits is not None:
+                    at = bits_of(low, len(bits) * 8)
+                    if bits[at >> 3] >> (7 - (at & 7)) & 1:
+                        return strength
+        return found or "unknown"
 
 
 def style(word: str) -> str:
@@ -91,10 +143,13 @@ def style(word: str) -> str:
 
 
 class Candidate:
-    __slots__ = ("start", "end", "kind", "key", "features")
+    """A span that may be personal: its features, and keys of which candidates that resemble each other share one."""
+
+    __slots__ = ("start", "end", "kind", "keys", "features")
 
-    def __init__(self, start: int, end: int, kind: str, key: str, features: list[str]):
-        self.start, self.end, self.kind, self.key, self.features = start, end, kind, key, features
+    def __init__(self, start: int, end: int, kind: str, keys: tuple[str, ...] | str, features: list[str]):
+        self.start, self.end, self.kind, self.features = start, end, kind, features
+        self.keys = (keys,) if isinstance(keys, str) else keys
 
 
 BEFORE, AFTER = re.compile(r"([^\W\d_]+|[^\s\w])\s*$"), re.compile(r"\s*([^\W\d_]+|[^\s\w]|\d)")
@@ -117,7 +172,7 @@ def emails(text: str) -> Iterator[Candidate]:
         last = re.split(DOT, value)[-1]
         remote = text[end : end + 1] == ":" and text[end + 1 : end + 2].isalnum()
         f = ["email", f"email|remote={remote:d}", f"email|ending={'word' if last.isalpha() and len(last) > 1 else 'number'}", f"email|local={len(re.split(AT, value)[0]) > 1:d}"]
-        yield Candidate(m.start(), end, "email", plain(value), f + around(text, m.start(), end, "email"))
+        yield Candidate(m.start(), end, "email", (plain(re.split(AT, value)[0]), plain(value)), f + around(text, m.start(), end, "email"))
 
 
 def phones(text: str) -> Iterator[Candidate]:
@@ -136,7 +191,7 @@ def phones(text: str) -> Iterator[Candidate]:
         digits = re.sub(r"\D", "", value)
         kind = "plus" if value[0] == "+" else "zeros" if value[:2] == "00" else "bracket" if value[0] == "(" else "national" if value[0] == "0" else "groups"
         f = ["phone", f"phone|form={kind}", f"phone|digits={min(len(digits), 15)}", f"phone|gaps={''.join(sorted(set(re.sub(r'[0-9]', '', value))))}"]
-        yield Candidate(start, end, "phone", digits, f + around(text, start, end, "phone"))
+        yield Candidate(start, end, "phone", (digits[-7:],), f + around(text, start, end, "phone"))
 
 
 def id_numbers(text: str) -> Iterator[Candidate]:
@@ -168,40 +223,51 @@ def addresses(text: str, low: str) -> Iterator[Candidate]:
             end -= len(m.group()) - len(m.group()[: m.group().rindex(words.pop())].rstrip())
         styles = {style(w) for w in words if w.lower() not in {"de", "la", "rue", "st"}} or {"lower"}
         f = ["address", f"address|form={form}", f"address|style={'+'.join(sorted(styles))}", f"address|function={bool(FUNCTION_WORDS & {w.lower() for w in words}):d}", f"address|words={min(len(words), 5)}"]
-        yield Candidate(start, end, "address", plain(text[start:end]), f + around(text, start, end, "address"))
+        yield Candidate(start, end, "address", tuple(plain(w) for w in words if len(w) > 3) or (plain(text[start:end]),), f + around(text, start, end, "address"))
 
 
-def _family(value: str, names: Names) -> str:
-    best = "unknown"
-    for part in value.split("-"):
-        s = names.family_status.get(part.lower()) or names.family_status.get(plain(part))
-        best = "listed" if s == "listed" or best == "listed" else s or best
-    return best
+RANK = ("unknown", "weak", "strong", "common", "listed")
 
 
-def name_pairs(text: str, names: Names) -> Iterator[Candidate]:
-    for form, pattern in (("straight", STRAIGHT), ("turned", TURNED)):
+def _best(value: str, role: str, names: Names) -> str:
+    """The best status of the parts of a word with hyphens."""
+    return max((names.status(part, role) for part in value.split("-")), key=RANK.index)
+
+
+def name_pairs(text: str, names: Names, small: bool) -> Iterator[Candidate]:
+    patterns = [("straight", STRAIGHT_CAPITAL, False), ("turned", TURNED_CAPITAL, False)]
+    if small:
+        patterns += [("straight", STRAIGHT, True), ("turned", TURNED, True)]
+    for form, pattern, small_only in patterns:
         at = 0
         while m := pattern.search(text, at):
             at = m.end("given") if form == "straight" else m.end("family")
             given, family = m.group("given"), m.group("family")
-            fs = _family(family, names)
-            if fs == "unknown":
-                continue
             initial = given.endswith(".")
+            g_style, f_style = style(given[0] if initial else given), style(family)
+            if small_only != (f_style == "lower") or f_style == "lower" and (initial or g_style != "lower"):
+                continue
+            fs = _best(family, "family", names)
+            gs = "initial" if initial else _best(given, "given", names)
             comma = form == "turned" and "," in text[m.end("family") : m.start("given")]
-            gs = "initial" if initial else names.given_status.get(given.lower()) or names.given_status.get(plain(given)) or "unknown"
-            if gs == "unknown" and (style(given) != style(family) or style(given) == "lower" or form == "turned"):
+            if initial and g_style == "lower":
                 continue
-            if initial and (not given[0].isupper() or style(family) == "lower"):
+            if "unknown" in (gs, fs):
+                # a word that nothing is known of has to be written like its partner, and as a name
+                if f_style == "lower" or form == "turned" and not comma or not initial and (g_style != f_style and not (comma and f_style == "caps")):
+                    continue
+            elif f_style == "lower" and "weak" in (gs, fs):
                 continue
-            if form == "turned" and not comma and gs != "initial":
+            elif form == "turned" and not comma and (gs not in ("listed", "common", "strong") or fs not in ("listed", "common", "strong") or names.status(family, "given") != "unknown"):
                 continue
-            if gs != "unknown":
+            if gs != "unknown" and fs != "unknown":
                 at = m.start("family") if form == "straight" else m.start("given")
             wraps = "\n" in m.group()
-            f = ["name", f"name|form={form}{comma:d}", f"name|given={gs}", f"name|family={fs}", f"name|both={gs}/{fs}", f"name|styles={style(given[0] if initial else given)}/{style(family)}", f"name|wraps={wraps:d}"]
-            yield Candidate(m.start(), m.end(), "name", plain(family.split("-")[0]), f + around(text, m.start(), m.end(), "name"))
+            starter = (not initial and given.lower() in STARTERS) + 2 * (family.lower() in STARTERS)
+            f = ["name", f"name|form={form}{comma:d}", f"name|given={gs}", f"name|family={fs}", f"name|both={gs}/{fs}", f"name|styles={g_style}/{f_style}", f"name|all={gs}/{fs}/{f_style}{comma:d}", f"name|wraps={wraps:d}", f"name|middle={form == 'straight' and m.group('middle') is not None:d}/{gs}/{plain(given[-2:]) if gs == 'unknown' else ''}", f"name|ends={plain(given[-2:]) if gs == 'unknown' else ''}/{plain(family[-2:]) if fs == 'unknown' else ''}", f"name|starter={starter}"]
+            near = around(text, m.start(), m.end(), "name")
+            f += near + [f"{x}|{'known' if fs != 'unknown' and gs != 'unknown' else 'half' if fs != 'unknown' or gs not in ('unknown', 'initial') else 'none'}" for x in near]
+            yield Candidate(m.start(), m.end(), "name", tuple(plain(w) for w in family.split("-")), f)
 
 
 def candidates(text: str, names: Names) -> list[Candidate]:
@@ -215,8 +281,7 @@ def candidates(text: str, names: Names) -> list[Candidate]:
         found += id_numbers(text)
     if STREET.search(low):
         found += addresses(text, low)
-    if not names.families.isdisjoint(WORDS.findall(low)):
-        found += name_pairs(text, names)
+    found += name_pairs(text, names, names.may_be_small(WORDS.findall(low)))
     found.sort(key=lambda c: (c.start, -c.end))
     return found
 
@@ -231,12 +296,14 @@ def edges(nodes: list[Candidate]) -> tuple[list[tuple[int, int]], list[tuple[int
     """Chain edges between neighbours, and skip edges between each candidate and the last one that resembles it."""
     chain = [(i, i + 1) for i in range(len(nodes) - 1) if 0 <= nodes[i + 1].start - nodes[i].end < 60]
     seen: dict[tuple[str, str], int] = {}
-    skip = []
+    skip = set()
     for i, c in enumerate(nodes):
-        if (c.kind, c.key) in seen and nodes[seen[c.kind, c.key]].end <= c.start:
-            skip.append((seen[c.kind, c.key], i))
-        seen[c.kind, c.key] = i
-    return chain, skip
+        for key in c.keys:
+            last = seen.get((c.kind, key))
+            if last is not None and nodes[last].end <= c.start:
+                skip.add((last, i))
+            seen[c.kind, key] = i
+    return chain, sorted(skip)
 
 
 class Field:
@@ -321,34 +388,75 @@ def fit(labelled: list[tuple[str, set[tuple[int, str]]]], names: Names, steps: i
 
 # --- labelled texts made here -------------------------------------------------------------------------------------
 
+#: Sentences with places for made values. None of them stands in the tables the queries run over.
 CARRIERS = [
-    "# reviewed by {name}, {hash}", "/** @param owner {name} (see {thing}) */", "My name is {name} and I own {thing}.", "{name} pinged me about {thing}, so it waits.", "Ask {name} before touching {thing}, please.",
-    "thanks {name}! merging {hash} now", "that's {name}'s machine, call {phone} first", "cc {name} <{email}> on anything about {thing}.", "Signed-off-by: {name} <{email}>", "From: {name} <{email}>\nTo: {email}\nSubject: {thing}",
-    "per {name}, {thing} fails – {n} ms", "met {name} and {name} at {address}; both want it gone", "deliveries go to {address} — ask for {name} at the desk", "name: {name}\nphone: {phone}\naddress: {address}", "Adresse: {address}\nTéléphone : {phone}",
-    "{{\"owner\": \"{name}\", \"contact\": \"{email}\", \"tel\": \"{phone}\"}}", "row {n},{name},{phone},{email},{hash}", "INSERT INTO x VALUES ({n}, '{name}', '{email}', '{id}');", "| {name} | {id} | {n} |", "dump: {id} | {name} | {address}",
-    "Customer {name} ({id}) lives at {address}, see {hash}.", "The fixture still has {id} in it, scrub {thing}.", "Verify {id} against {thing} first.", "wohnhaft {address}, erreichbar unter {phone}", "Der Kontakt ist {name}, Tel. {phone}.",
-    "reach me on {phone} or {email} if it breaks", "llámame al {phone} o escribe a {email}", "tel:{phone};ref={hash}", "The on-call phone for {thing} is {phone}, not that one.", "export MAIL={email} NOTIFY={phone}", "mailto:{email} bounced {n} times",
-    "GET /invite?to={email}&ref={hash} 302", "no seat for {email} in {thing} ({hash})", "Send the report to {email} on Monday.", "ship the box to {address} once it is done", "the seed data has {address} and {address} for one {word}", "{name} said so; {name} agreed, and {name} too.",
+    "Could someone hand this over to {name}? The branch is {hash}.", "{name} wrote the first draft of {thing} last year.", "According to {name} the limit is {n}.", "Dear {name},\nplease find the numbers for {thing} below.", "Kind regards,\n{name}\n{phone}",
+    "author = \"{name} <{email}>\"", "Reported-by: {name} <{email}>", "* {name}: owns {thing}\n* {name}: reviews it", "maintainer {name}; mail {email}; line {phone}", "We met at {address}, and {name} took notes.",
+    "Parcel for {name}, {address}, two boxes", "invoice to: {name}\nstreet: {address}\nmobile: {phone}\nmail: {email}", "{{\"user\": {{\"fullName\": \"{name}\", \"street\": \"{address}\"}}, \"phone\": \"{phone}\"}}", "<td>{name}</td><td>{phone}</td><td>{email}</td>", "{n};{name};{address};{email}",
+    "UPDATE people SET mail = '{email}', tel = '{phone}' WHERE name = '{name}';", "The applicant gave {id} and moved to {address}.", "Her papers say {id}; {name} checked it.", "field 7 held {id} until {hash}", "wrong value {id} for {name}, row {n}",
+    "mask {id} before you paste it", "Bitte {name} fragen, Telefon {phone}, wohnt {address}.", "Contactez {name} au {phone} ou {email}.", "Vive en {address}; su correo es {email}.", "His number used to be {phone}, now it is {phone}.",
+    "ring {phone} after six", "SMS went to {phone} twice, nothing to {email}", "curl -d mail={email} https://{host}/signup?n={n}", "{email} unsubscribed from {thing}", "login failed for {email} from 10.{n}.3.{d}",
+    "cc: {email}, {email}", "The house at {address} has no lift.", "from {address} to {address} it takes {n} minutes", "mr {name} and ms {name} signed {thing}", "I think {name} is right, because {thing} broke. Later {name} fixed it.",
+    "Was it {name} who wrote {thing}?", "@todo ask {name}", "Spoke with {name} ({phone}) about {thing}", "| {name} | {email} | {address} |", "{name} ({id}), {address}", "{name} joined; {name} left after {n} days.", "say hello to {name}.", "Owner: {name}", "for {name}, from {name}",
+    "{name} called about {thing}.", "the keys are with {name} now", "{name}\n{address}\n{phone}", "phone {phone}, {name} picks up", "meine Adresse ist {address}", "J'habite {address}.", "{thing} was written by {name} and {name} in {n} days",
+    "{Role} {name}: {thing} is done", "well done {name}! {thing} is in", "Hooray {name}! {n} to go", "bravo {name}, {thing} passed", "either {address} or {address} for now", "houses: {address} and {address} in the same {noun}", "{Role} {name} rang", "{Role} {name} ({id}) is ours", "{Role} {name}, {address}", "{Role} {name} wants {thing}", "the {role} is {name}, Mobil {phone}", "Zuständig ist {name}, erreichbar {phone}.", "with {name}, {thing} got faster", "as for {name}, {thing} may stay", "thanks to {name}, {thing} is quick", "{name} asked about {thing} again", "{name} tried {thing} and gave up", "is it {name}'s {noun}?", "this is {name}'s desk", "{name}'s badge was found, ring {phone}",
 ]
 DECOYS = [
-    "Clone git@{host}:{word}/{word}.git and check out {hash}.", "ssh deploy@10.{n} timed out on {thing}.", "Pin @{word}/{word}-{word}@{n}.0.1 in the lockfile.", "decorate it with @{word}.{word} and call .at({n})", "order no. {n4}-{n}-17 went through {thing} at 09:15:{n}",
-    "Ticket OPS-900-{n4} blocks build 2026{n4}-{n}.", "version 2.415.555 of {thing} at 12:34:56, pid {n}.", "listening on 0.0.0.0:{n4} and [::1]:{n}, table 12", "range 2024-01-14..2024-02-{n}, chunk 617x555x{n}", "The {family} Filter and the {family} Queue merge {n} rows.",
-    "Read Main Street Parser and Old Tannery Loader in {thing}.", "retry 3 Way Merge and 7 Lane Split before {thing}.", "thanks, {given} — {thing} works again", "ask {given} or {given}", "process 555-{n4} has {n} rows while {n} files close", "The {Word} {Word} release shipped {n} ms late.",
-    "{n4} rows in the way, {n} files wait in a lane", "2026-01-0{d}T07:51:53.981Z WARN {word}.{word} {word}={n} {word}={hash}", "order {n}-{d}{d}-{n4} is not theirs", "build {d}{d}{d}.{d}{d}{d}.{d}{d}{d}-{d} of {thing}", "a {family} in the {word}, the {family} {word}",
+    "git remote add origin git@{host}:{word}/{word}.git", "rsync -a {word}@10.{d}.{d}.{d}:/srv/{word} .", "npm i @{word}/{word}@{d}.{d}{d}.{d}", "use @{word}.{word}({n}) or list.at({d})", "wrap {thing} with @{word}.{word} first", "scp {hash} {word}@10.{n}", "mark it as @{word}.{word}, call .at({n})", "{word}@192.168.{d}.{n} is down", "tunnel to {word}@10.{n} closed", "order {n4}-{n4}-{d}{d} left the depot at 07:{d}{d}:{d}{d}",
+    "see ticket ABC-{n4} and build {n4}.{n}.{d}", "upgrade from {d}.{d}{d}{d}.{d}{d}{d} to {d}.{d}{d}{d}.{d}{d}{d}", "bind 127.0.0.1:{n4}, [::]:{n4}", "from 2023-0{d}-1{d} to 2023-0{d}-2{d}, {n} samples", "shape {d}{d}{d}x{d}{d}{d}x{d}{d}",
+    "The {family} {Noun} is slower than the {family} {Noun}.", "{Noun} {Noun} depends on the {family} {Noun}.", "Old {Noun} {Noun} and New {Noun} {Noun}", "Take {Word} {Noun} over {Word} {Noun}.", "{given} is out today", "hi {given}, {thing} is green", "{given} and {given} paired on {thing}",
+    "pid {n4}-{d}{d} used {n} MB over {d} days", "both the {family} and its {family}, see {thing}", "{n} Step {Noun} and {d} Phase {Noun}", "{d} Main {Noun} or {d} Old {Noun} {Noun}", "Walk {d} streets and {d} lanes down the drive", "he waited {n} ms in the close handler",
+    "2024-1{d}-2{d} 1{d}:3{d}:{d}{d},{d}{d}{d} INFO {word}.{word} took={n} id={hash}", "serial {d}{d}{d}-{d}{d}{d}{d}{d}-{d}{d} on the label", "run {n4} of {n4} at offset {n}{n4}", "Great {Noun}! Please {Verb} the {Noun}.", "{Verb} The {Noun} Before Lunch", "## {Verb} {Noun}\n\n{Noun} {Noun} {Verb}s {thing}.",
+    "a {family} in the {word} and a {family} by the {word}", "class {Noun}{Noun} extends {Noun} {{ {Word} {word}; }}", "Ticket {n4}, process {n4}, order {n4}{n4}", "{Noun} {Noun}, {Noun} {Noun} and {Noun}", "Deploy to {Word} {Noun} failed on {host}:{n4}", "{given} {verb}s the {noun}", "the {noun} {family} {verb}s {thing}", "the {small} {noun} and a {small} {noun}", "its {small}, {small} or {noun}", "{Verb} {given} in the {noun}",
+    "{family} {Noun} 2.{d}", "{n}x{n} {Noun} Square {Noun}", "a place to park, the way home, {n} paths", "ref #{n4}: {Noun} {Verb}s", "{Word} {Word} shipped on Monday", "In {Word} {Noun} the {noun} is {n}",
 ]
+#: What people are called by what they do.
+ROLES = "tenant driver patient engineer author editor client member buyer seller caller visitor passenger subscriber user manager lawyer teacher student nurse doctor worker neighbour owner guest analyst tester officer".split()
+#: Ordinary words for titles of things.
+NOUNS, VERBS = "parser loader filter queue cache index worker server client router schema module bridge monitor service engine buffer cluster gateway scheduler handler runner tracker pipeline ledger window".split(), "check merge split update remove review test rename move sort".split()
+
 
+def made_words(rng: random.Random, count: int) -> list[str]:
+    """Words that look like names of no language."""
+    out = set()
+    while len(out) < count:
+        w = "".join(rng.choice("b br c ch d dr f g gr h j k kl l m n p r s sch st t th v w z".split()) + rng.choice("a e i o u ei ou á ü".split()) for _ in range(rng.randint(2, 3))) + rng.choice(["", "n", "s", "ck", "ll", "rt", "haugh", "ez", "sky", "dy"])
+        out.add(w)
+    return sorted(out)
 
-def made_texts(names_listed: Names, count: int = TRAIN_TEXTS, seed: int = SEED) -> list[tuple[str, set[tuple[int, str]]]]:
+
+def training_names(listed: Names, seed: int = SEED) -> tuple[Names, list[str], list[str]]:
+    """Names for training, given words and family words: listed, common and made ones, of which the texts tell much, little or nothing."""
+    rng = random.Random(seed)
+    names, pools = Names(listed.given, listed.family), []
+    for role, own, common in (("given", listed.given, COMMON_GIVEN), ("family", listed.family, COMMON_FAMILY)):
+        made = made_words(rng, 400)
+        for w in made:
+            told = rng.choice(["strong", "strong", "weak", "weak", "unknown"])
+            if told != "unknown":
+                names.known[role].setdefault(w, told)
+        # the listed words a third of the draws, whatever their number
+        pools.append(sorted(own) * (1 + 300 // max(1, len(own))) + common * 2 + made)
+    return names, *pools
+
+
+def trained(listed: Names) -> Field:
+    """The field fitted on TRAIN_TEXTS made texts."""
+    return fit(made_texts(listed), training_names(listed)[0])
+
+
+def made_texts(names_listed: Names, count: int = TRAIN_TEXTS, seed: int = SEED, carriers: list[str] = CARRIERS, decoys: list[str] = DECOYS) -> list[tuple[str, set[tuple[int, str]]]]:
     """Labelled texts: carriers and decoys filled with made values, with the starts of what is personal."""
     rng = random.Random(seed)
-    given, family = sorted(names_listed.given), sorted(names_listed.family)
+    _, given, family = training_names(names_listed, seed)
+    title = lambda w: "-".join(p[:1].upper() + p[1:] for p in w.split("-"))
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 3)))
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     hex_ = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(7))
 
     def name() -> str:
-        g, f = rng.choice(given).title(), rng.choice(family).title()
-        f2, i = rng.choice(family).title(), chr(65 + rng.randrange(26))
+        g, f = title(rng.choice(given)), title(rng.choice(family))
+        f2, i = title(rng.choice(family)), chr(65 + rng.randrange(26))
         return rng.choice([f"{g} {f}"] * 3 + [f"{g} {f}-{f2}", f"{g} {i}. {f}", f"{i}. {f}", f"{f.upper()}, {g}", f"{f}, {g}", f"{f}, {i}.", f"{g} {f}".upper(), f"{g} {f}".lower(), f"{g}\u00a0{f}"])
 
     def email() -> str:
@@ -378,7 +486,7 @@ def made_texts(names_listed: Names, count: int = TRAIN_TEXTS, seed: int = SEED)
     for _ in range(count):
         text, real, last = "", set(), None
         for _ in range(rng.randint(1, 4)):
-            sentence = rng.choice(CARRIERS if rng.random() < 0.6 else DECOYS).replace("{{", "\x01").replace("}}", "\x02")
+            sentence = rng.choice(carriers if rng.random() < 0.6 else decoys).replace("{{", "\x01").replace("}}", "\x02")
             at = 0
             for m in slot.finditer(sentence):
                 text += sentence[at : m.start()].replace("\x01", "{").replace("\x02", "}")
@@ -394,7 +502,7 @@ def made_texts(names_listed: Names, count: int = TRAIN_TEXTS, seed: int = SEED)
                     last = value if what == "name" else last
                     real.add((len(text), what))
                 else:
-                    value = {"hash": hex_, "n": lambda: str(rng.randint(1, 19999)), "n4": lambda: num(4), "d": lambda: num(1), "word": word, "Word": lambda: word().title(), "host": lambda: f"{word()}.example", "thing": lambda: rng.choice([f"{word()}_{word()}", f"`{word()}`", f"{word()}.{word()}", f"lib/{word()}.py", f"the {word()} {word()}"]), "given": lambda: rng.choice(given).title(), "family": lambda: rng.choice(family).title()}[what]()
+                    value = {"hash": hex_, "n": lambda: str(rng.randint(1, 19999)), "n4": lambda: num(4), "d": lambda: num(1), "word": word, "Word": lambda: word().title(), "host": lambda: f"{word()}.example", "thing": lambda: rng.choice([f"{word()}_{word()}", f"`{word()}`", f"{word()}.{word()}", f"lib/{word()}.py", f"the {word()} {word()}"]), "given": lambda: title(rng.choice(given)), "family": lambda: title(rng.choice(family)), "Role": lambda: rng.choice(ROLES).title(), "role": lambda: rng.choice(ROLES), "Noun": lambda: rng.choice(NOUNS).title(), "noun": lambda: rng.choice(NOUNS), "small": lambda: rng.choice(family), "Verb": lambda: rng.choice(VERBS).title(), "verb": lambda: rng.choice(VERBS)}[what]()
                 text += value
                 at = m.end()
             text += sentence[at:].replace("\x01", "{").replace("\x02", "}") + rng.choice([" ", "\n", "\n\n"])
@@ -405,35 +513,54 @@ def made_texts(names_listed: Names, count: int = TRAIN_TEXTS, seed: int = SEED)
 # --- over tables --------------------------------------------------------------------------------------------------
 
 
-def learned(texts: DataFrame, text_col: str, given: set[str], family: set[str]) -> tuple[set[str], set[str]]:
-    """Given and family names that are not listed, from all pairs of capitalised words in all texts.
+def learned(texts: DataFrame, text_col: str, given: set[str], family: set[str]) -> dict[tuple[str, str], np.ndarray]:
+    """Bitmaps of given and family words, strong and weak, from all pairs of capitalised words in all texts.
 
-    The pairs are counted in the JVM, with a combiner, and MOST_LEARNED words of each role are kept at most: a bound on
-    vocabulary, by the number of their pairs.
+    The pairs are counted in the JVM, with a combiner. Every word that passes has its bit, of LEARNED_BITS a bitmap.
     """
     pattern = r"(?=((\p{Lu}\p{L}+)[ \u00a0](\p{Lu}\p{Ll}+)))\p{Lu}\p{L}+"
     pairs = texts.select(F.explode(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(1))).alias("pair"))
     counted = cut(pairs.groupBy("pair").agg(F.count("*").alias("n")), "pairs")
     two = F.split("pair", "[ \u00a0]")
     counted = counted.select(F.lower(two[0]).alias("first"), F.lower(two[1]).alias("second"), "n")
+    roles = []
+    for role, word, partner, known, listed in (("given", "first", "second", family, given), ("family", "second", "first", given, family)):
+        is_known = F.col(partner).isin(sorted(w.lower() for w in known))
+        words = counted.groupBy(F.col(word).alias("word")).agg(F.count_if(is_known).alias("partners"), F.sum(F.when(is_known, F.col("n")).otherwise(0)).alias("with_known"), F.sum("n").alias("n"))
+        good = words.where((F.col("partners") > 0) & (F.col("with_known") >= PARTNER_SHARE * F.col("n")) & ~F.col("word").isin(sorted({w.lower() for w in listed | known} | STARTERS)))
+        roles.append(good.select(F.lit(role).alias("role"), F.when(F.col("partners") >= PARTNERS, "strong").otherwise("weak").alias("strength"), F.xxhash64("word").alias("v")))
+    found = cut(roles[0].unionByName(roles[1]), "learned")
+    return {(role, strength): bitmap(found.where((F.col("role") == role) & (F.col("strength") == strength)).select("v"), LEARNED_BITS) for role in ("given", "family") for strength in ("strong", "weak")}
 
-    def role(word: str, partner: str, known: set[str], listed: set[str]) -> set[str]:
-        is_known = F.col(partner).isin(sorted(known))
-        words = counted.groupBy(word).agg(F.count_if(is_known).alias("partners"), F.sum(F.when(is_known, F.col("n")).otherwise(0)).alias("with_known"), F.sum("n").alias("n"))
-        good = words.where((F.col("partners") >= PARTNERS) & (F.col("with_known") >= PARTNER_SHARE * F.col("n")) & ~F.col(word).isin(sorted(listed)))
-        return {r[0] for r in good.orderBy(F.desc("with_known"), word).limit(MOST_LEARNED).select(word).collect()}
 
-    low_given, low_family = {g.lower() for g in given}, {f.lower() for f in family}
-    return role("first", "second", low_family, low_given), role("second", "first", low_given, low_family)
+BLOCK = 1 << 19
+
+
+def bitmap(hashes: DataFrame, width: int) -> np.ndarray:
+    """Packed bits of hashes (a column v), merged by tasks in blocks: at most width / 8 bytes here."""
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            at = pdf["v"].to_numpy() & (width - 1)
+            for block in np.unique(at // BLOCK):
+                held.setdefault(block, np.zeros(BLOCK, bool))[at[at // BLOCK == block] % BLOCK] = True
+        if held:
+            yield pd.DataFrame({"block": list(held), "bits": [np.packbits(b).tobytes() for b in held.values()]})
+
+    out = np.zeros(width // 8, np.uint8)
+    by_block = hashes.repartition(F.shiftright(F.col("v").bitwiseAND(width - 1), 19))
+    for r in by_block.mapInPandas(merged, "block long, bits binary").toLocalIterator():
+        out[r["block"] * (BLOCK // 8) :][: BLOCK // 8] |= np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def prepared(texts: DataFrame, parts: DataFrame, text_col: str = "body") -> tuple[Names, Field]:
     """The names, listed and learned, and the fitted field."""
     rows = parts.where("name_part is not null").select("name_part", "name_role").collect()  # the given list of names
     given, family = {r[0] for r in rows if r[1] == "given"}, {r[0] for r in rows if r[1] == "family"}
-    more_given, more_family = learned(texts, text_col, given, family) if given and family else (set(), set())
-    names = Names(given or {"anna"}, family or {"doe"}, more_given - {f.lower() for f in family}, more_family - {g.lower() for g in given})
-    return names, fit(made_texts(Names(given or {"anna"}, family or {"doe"})), names)
+    bits = learned(texts, text_col, given, family) if given and family else {}
+    return Names(given, family, learned=bits), trained(Names(given, family))
 
 
 def found(texts: DataFrame, parts: DataFrame, id_col: str = "id", text_col: str = "body") -> DataFrame:

@@ -1,3 +1,7 @@
+import re
+from collections import Counter
+from pathlib import Path
+
 import pytest
 
 from quern.llm import pii
@@ -9,7 +13,7 @@ SCHEMA = "id long, body string, log_id long, pii_type string"
 @pytest.fixture(scope="module")
 def model():
     names = pii.Names(GIVEN, FAMILY, {"Zelda"}, {"Umberleigh"})
-    return names, pii.fit(pii.made_texts(pii.Names(GIVEN, FAMILY)), names)
+    return names, pii.trained(pii.Names(GIVEN, FAMILY))
 
 
 CASES = [
@@ -40,13 +44,46 @@ def test_cases(model, text, want):
     assert [(k, text[s:e]) for s, e, k in field.find(text, names)] == want
 
 
-def test_held_out_made_texts(model):
-    names, field = model
-    hit = extra = missing = 0
-    for text, real in pii.made_texts(pii.Names(GIVEN, FAMILY), 600, 77):
+#: Sentences that stand neither in the training set nor in the test tables.
+HELD_OUT = [
+    "Yesterday {name} told us that {thing} is ready.", "Contact person: {name}, {phone}", "The visit to {address} is on Tuesday.", "Please forward this to {email}, not to {email}.", "passenger {name}, document {id}, seat {n}", "Their office moved from {address}.",
+    "{{\"reviewer\": \"{name}\", \"notify\": [\"{email}\"]}}", "If {phone} is busy, try {phone}.", "Nobody but {name} knows {thing}.", "Signed by {name} in {address}", "VALUES ('{name}', '{phone}', '{id}')", "to whom it may concern: {id} is {name}", "wrote {email} and {name} about it", "mein Kollege {name}, {email}",
+]
+HELD_OUT_DECOYS = [
+    "fetch git@{host}:{word}/{word} at {hash}", "The {family} {Noun} calls {Noun} {Noun} {n} times.", "release {d}.{d}{d}.{d} of {word}@{d}.{d}.{d}", "job {n4} of ticket QQ-{n4} ran {n} s", "thank you {given}, {thing} works", "{Verb} the {Noun} in Room {n}", "host {word}.{word} port {n4}", "{n4}-0{d}-1{d} {n} rows, {n4} errors", "ssh root@10.{d}.{d}.{n} hangs",
+]
+
+
+def test_sentences_seen_neither_in_training_nor_in_the_data(model):
+    """Precision and recall of each type, with names that are listed, common, told of by the texts, or known to nobody."""
+    _, field = model
+    names, _, _ = pii.training_names(pii.Names(GIVEN, FAMILY), 77)
+    hit, extra, missing = Counter(), Counter(), Counter()
+    for text, real in pii.made_texts(pii.Names(GIVEN, FAMILY), 1500, 77, HELD_OUT, HELD_OUT_DECOYS):
         got = {(s, k) for s, _, k in field.find(text, names)}
-        hit, extra, missing = hit + len(got & real), extra + len(got - real), missing + len(real - got)
-    assert hit / (hit + extra) > 0.98 and hit / (hit + missing) > 0.98
+        for many, of in ((hit, got & real), (extra, got - real), (missing, real - got)):
+            many.update(k for _, k in of)
+    figures = {k: (round(hit[k] / (hit[k] + extra[k]), 3), round(hit[k] / (hit[k] + missing[k]), 3)) for k in pii.TYPES}
+    print(figures)
+    assert min(min(f) for f in figures.values()) >= 0.9, figures
+
+
+def test_frames_do_not_stand_in_the_test_tables():
+    path = Path("/root/testdata/sf0.001/logs.parquet")
+    if not path.exists():
+        pytest.skip("no test tables here")
+    import pyarrow.parquet as pq
+
+    bodies = "\n".join(b for b in pq.read_table(path, columns=["body"]).column(0).to_pylist() if b)
+    for frame in [*pii.CARRIERS, *pii.DECOYS, *HELD_OUT, *HELD_OUT_DECOYS]:
+        fixed = [p for p in re.split(r"\{\{|\}\}|\{\w+\}", frame) if len(p.split()) >= 2 and len(p) > 8]
+        assert not fixed or not all(p in bodies for p in fixed), frame
+
+
+def test_names_of_which_a_part_is_in_no_list(model):
+    names, field = model
+    for text, want in [("Yesterday John Smith told us about it.", "John Smith"), ("I spoke with Maria Gonzalez today", "Maria Gonzalez"), ("met Velia Aggerly", "Velia Aggerly")]:
+        assert [text[s:e] for s, e, _ in field.find(text, names)] == [want]
 
 
 def test_distant_repeats_agree(model):
