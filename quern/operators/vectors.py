@@ -26,10 +26,9 @@ def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return x, good
 
 
-def _tiles(rows: DataFrame, block: list[str], tile: int) -> tuple[int, int]:
-    """The tiles of the largest block, and of all rows together."""
-    most, total = rows.groupBy(*block).count().agg(F.max("count"), F.sum("count")).first()
-    return max(1, -(-(most or 1) // tile)), max(1, -(-(total or 1) // tile))
+def _tiled(rows: DataFrame, block: list[str], tile: int, name: str) -> DataFrame:
+    """(block, name): the tiles of each block, one at least."""
+    return rows.groupBy(*block).agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias(name))
 
 
 def cosines(left: DataFrame, right: DataFrame, block: list[str], *, least: float | None = None, top: int | None = None, ordered: bool = False, tile: int = TILE) -> DataFrame:
@@ -41,16 +40,18 @@ def cosines(left: DataFrame, right: DataFrame, block: list[str], *, least: float
     right_order after left_order, before top is taken. The similarity with an all-zero vector is null, and dropped if
     least or top is given.
     """
-    (lefts, few), (rights, many) = _tiles(left, block, tile), _tiles(right, block, tile)
-    extra = (["left_order"], ["right_order"]) if ordered else ([], [])
-    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    key = F.pmod(F.xxhash64(*block), F.lit(max(few, many)))  # small blocks share a task
     whole = F.lit(True)
     for b in block:
         whole = whole & F.col(b).isNotNull()
-    l = left.where(whole & F.col("left_vector").isNotNull()).select(key.alias("k"), F.to_json(F.struct(*block)).alias("b"), "left_id", F.col("left_vector").cast("array<float>").alias("left_vector"), *extra[0], place("left_id", lefts).alias("i"), every(rights).alias("j"))
-    r = right.where(whole & F.col("right_vector").isNotNull()).select(key.alias("k"), F.to_json(F.struct(*block)).alias("b"), "right_id", F.col("right_vector").cast("array<float>").alias("right_vector"), *extra[1], place("right_id", rights).alias("j"), every(lefts).alias("i"))
+    left, right = left.where(whole & F.col("left_vector").isNotNull()), right.where(whole & F.col("right_vector").isNotNull())
+    # a row is copied for the tiles of its own block only; blocks that one side lacks meet nothing
+    sizes = _tiled(left, block, tile, "lefts").join(_tiled(right, block, tile, "rights"), block)
+    extra = (["left_order"], ["right_order"]) if ordered else ([], [])
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = F.pmod(F.xxhash64(*block), F.lit(max(1, left.count() // tile, right.count() // tile)))  # small blocks share a task
+    l = left.join(sizes, block).select(key.alias("k"), F.to_json(F.struct(*block)).alias("b"), "left_id", F.col("left_vector").cast("array<float>").alias("left_vector"), *extra[0], place("left_id", "lefts").alias("i"), every("rights").alias("j"))
+    r = right.join(sizes, block).select(key.alias("k"), F.to_json(F.struct(*block)).alias("b"), "right_id", F.col("right_vector").cast("array<float>").alias("right_vector"), *extra[1], place("right_id", "rights").alias("j"), every("lefts").alias("i"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         parts = []

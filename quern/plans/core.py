@@ -100,8 +100,8 @@ ended AS (
 QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_circles, p5_found, p5_panes, p5_windows, p5_revisions)}
 SQL = {
     "p1_found": f"WITH {WALK} SELECT memory_id, CAST(root_id AS BIGINT) AS root_id, CAST(depth AS BIGINT) AS depth FROM ended WHERE memory_id IN (SELECT id FROM memories WHERE superseded_by IS NOT NULL)",
-    "p1_paths": f"WITH {WALK} SELECT memory_id, CAST(root_id AS BIGINT) AS root_id, CAST(depth AS BIGINT) AS depth, CASE WHEN depth = -1 THEN '' ELSE array_to_string(path, '/') END AS path FROM ended",
-    "p1_descendants": f"WITH {WALK} SELECT w.place AS memory_id, w.id AS retired_id, w.depth AS steps FROM walk w JOIN ended e ON e.memory_id = w.id WHERE w.depth > 0 AND e.depth >= 0",
+    "p1_paths": f"WITH {WALK} SELECT memory_id, CAST(root_id AS BIGINT) AS root_id, CAST(depth AS BIGINT) AS depth, array_to_string(list_slice(path, 1, list_position(path, root_id)), '/') AS path FROM ended",
+    "p1_descendants": f"WITH {WALK} SELECT w.place AS memory_id, w.id AS retired_id, w.depth AS steps FROM walk w WHERE w.depth > 0",
     "p1_circles": f"WITH {WALK} SELECT root_id, CAST(len(path) AS BIGINT) AS length, array_to_string(path, '/') AS members FROM ended WHERE depth = -1 AND memory_id = root_id",
     "p5_found": f"WITH {FIRST_ARRIVALS} SELECT session_id, pane AS hour_epoch FROM pane_counts WHERE late > 0",
     "p5_panes": f"WITH {FIRST_ARRIVALS} SELECT session_id, pane AS hour_epoch, on_time, late, dropped FROM pane_counts",

@@ -78,7 +78,7 @@ def excluded_scopes(spark, d):
 
 
 _PROMPTS = """vec AS (SELECT id, embedding_model AS model, kind, scope_key, CAST(embedding AS DOUBLE[]) AS e, said_at, created_at, superseded_by, superseded_at, ended_at, until_moment, actionable FROM memories WHERE embedding IS NOT NULL),
-asked AS (SELECT id AS prompt_id, scope_key AS ask, model, e AS v FROM vec WHERE id % 40 = 0)"""
+asked AS (SELECT id AS prompt_id, scope_key AS ask, model, e AS v FROM vec WHERE id % 50 = 0)"""
 _COS = "CASE WHEN sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(e, e)) = 0 THEN NULL ELSE list_dot_product(v, e) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(e, e))) END"
 _MET = f"""{_PROMPTS}, met AS (SELECT prompt_id, id AS memory_id, kind, said_at, created_at, actionable, {_COS} AS similarity FROM asked JOIN vec ON asked.model = vec.model AND (scope_key IS NULL OR {WITHIN.format(a='ask', s='scope_key')})
   WHERE superseded_by IS NULL AND ended_at IS NULL AND (until_moment IS NULL OR until_moment > {NOW_SQL})),
@@ -87,8 +87,8 @@ floors AS (SELECT *, max(CASE WHEN nth = CAST(greatest(10, ceil(n / 100.0)) AS I
 
 
 def _asked(spark, d):
-    """Statements stand in for prompts, one in forty."""
-    return _memories(spark, d).where("embedding is not null and id % 40 = 0").select(F.col("id").alias("prompt_id"), F.col("scope_key").alias("ask"), F.col("embedding_model").alias("model"), F.col("embedding").alias("vector"))
+    """Statements stand in for prompts, those of ids divisible by 50, each against all statements."""
+    return _memories(spark, d).where("embedding is not null and id % 50 = 0").select(F.col("id").alias("prompt_id"), F.col("scope_key").alias("ask"), F.col("embedding_model").alias("model"), F.col("embedding").alias("vector"))
 
 
 @query(f"WITH {_MET} SELECT DISTINCT prompt_id, n, round(floor, 6) AS floor FROM floors")
@@ -103,7 +103,7 @@ def match_topk(spark, d):
     return found.select("prompt_id", "memory_id", F.round("similarity", 6).alias("similarity"), F.round("rank", 6).alias("rank"), "place")
 
 
-@query(f"""WITH asks AS (SELECT id AS prompt_id, scope_key AS ask FROM memories WHERE id % 40 = 0),
+@query(f"""WITH asks AS (SELECT id AS prompt_id, scope_key AS ask FROM memories),
 met AS (SELECT prompt_id, m.id AS memory_id, {WORTH} AS rank, created_at FROM asks JOIN memories m ON {WITHIN.format(a='ask', s='m.scope_key')} WHERE {LIVE} AND (until_moment IS NULL OR until_moment > {NOW_SQL}))
 SELECT prompt_id, memory_id, round(rank, 6) AS rank, place FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY rank DESC, created_at DESC, memory_id) AS place FROM met) WHERE place <= 10""")
 def opening_list(spark, d):
@@ -111,7 +111,7 @@ def opening_list(spark, d):
     return recall.opening(asks, _memories(spark, d), at(NOW), 10).withColumn("rank", F.round("rank", 6))
 
 
-@query(f"""WITH asks AS (SELECT id AS prompt_id, scope_key AS ask, kind AS k, said_at AS s FROM memories WHERE id % 20 = 0 AND said_at IS NOT NULL),
+@query(f"""WITH asks AS (SELECT id AS prompt_id, scope_key AS ask, kind AS k, said_at AS s FROM memories WHERE said_at IS NOT NULL),
 met AS (SELECT prompt_id, m.id AS memory_id, m.said_at FROM asks JOIN memories m ON (m.scope_key IS NULL OR {WITHIN.format(a='ask', s='m.scope_key')}) AND m.kind = k AND m.said_at < s WHERE {LIVE})
 SELECT prompt_id, memory_id, number FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY said_at DESC, memory_id DESC) AS number FROM met) WHERE number <= 40""")
 def standing_candidates(spark, d):
@@ -120,13 +120,13 @@ def standing_candidates(spark, d):
 
 
 @query("""WITH vec AS (SELECT id, embedding_model AS model, CAST(embedding AS DOUBLE[]) AS e, coalesce(score < 0.4, false) AS empty, created_at FROM memories WHERE embedding IS NOT NULL AND created_at IS NOT NULL),
-met AS (SELECT p.id AS prompt_id, r.id AS reading_id, r.empty, CASE WHEN list_dot_product(p.e, p.e) * list_dot_product(r.e, r.e) > 0 THEN list_cosine_similarity(p.e, r.e) END AS similarity FROM vec p JOIN vec r ON p.model = r.model AND r.created_at <= p.created_at WHERE p.id % 25 = 0),
+met AS (SELECT p.id AS prompt_id, r.id AS reading_id, r.empty, CASE WHEN list_dot_product(p.e, p.e) * list_dot_product(r.e, r.e) > 0 THEN list_cosine_similarity(p.e, r.e) END AS similarity FROM vec p JOIN vec r ON p.model = r.model AND r.created_at <= p.created_at WHERE p.id % 50 = 0),
 top AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY similarity DESC, reading_id) AS nth FROM met WHERE similarity IS NOT NULL)
 SELECT prompt_id, count(*) AS neighbours, round(avg(CAST(empty AS INT)), 6) AS empty_share, count(*) >= 20 AND avg(CAST(empty AS INT)) > 0.8 AS silent FROM top WHERE nth <= 20 GROUP BY prompt_id""")
 def silence_vote(spark, d):
     rows = _memories(spark, d).where("embedding is not null and created_at is not null")
     known = rows.select("id", F.col("embedding_model").alias("model"), F.col("embedding").alias("vector"), F.coalesce(F.col("score").cast("double") < 0.4, F.lit(False)).alias("empty"), F.col("created_at").alias("classified_at"))
-    asked = rows.where("id % 25 = 0").select(F.col("id").alias("prompt_id"), F.col("embedding_model").alias("model"), F.col("embedding").alias("vector"), F.col("created_at").alias("as_of"))
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("prompt_id"), F.col("embedding_model").alias("model"), F.col("embedding").alias("vector"), F.col("created_at").alias("as_of"))
     return recall.holds_nothing(asked, known).withColumn("empty_share", F.round("empty_share", 6))
 
 
@@ -190,7 +190,7 @@ def retire_guard(spark, d):
     return store.retirements(wanted, m)
 
 
-@query(f"SELECT id, CASE WHEN id % 3 = 0 THEN id + 1 END AS superseded_by, CASE WHEN id % 4 = 0 THEN 'state' END AS ended_reason FROM memories WHERE {LIVE} AND id % 2 = 0")
+@query(f"SELECT id, CASE WHEN id % 3 = 0 THEN id + 1 END AS superseded_by, CASE WHEN id % 4 = 0 THEN 'state' END AS ended_reason FROM memories WHERE {LIVE}")
 def event_fold(spark, d):
     """Events folded into statements: retired and restored, ended and reopened, the last one counting."""
     m = _memories(spark, d).where(memory.live())
