@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import memory, scope
-from quern.operators import vectors
+from quern.operators import skew, vectors
 
 MARGIN, LIMIT, ACTIONABLE = 0.09, 5, 0.6
 NEIGHBOURS, EMPTY_SHARE, SILENCE_WORDS = 20, 0.8, 12
@@ -60,15 +60,37 @@ def match(prompts: DataFrame, statements: DataFrame, now: Column, *, moment: Col
 
 
 def opening(asks: DataFrame, statements: DataFrame, now: Column, limit: int) -> DataFrame:
-    """(prompt_id, memory_id, rank, place): the worthiest scoped statements reachable from each ask, unseen, live, actionable."""
-    mine = statements.where(memory.live() & F.col("scope_key").isNotNull() & memory.live_at(F.lit(None).cast("timestamp"), now)).select(F.col("id").alias("memory_id"), F.col("scope_key").alias("at_scope"), "kind", "said_at", "created_at", "actionable")
-    exploded = asks.withColumn("__at", F.explode(scope.ancestors(F.col("ask"))))
-    met = exploded.join(mine, F.col("__at") == F.col("at_scope"))
-    if "seen" in asks.columns:
-        met = met.where(~F.coalesce(F.array_contains("seen", F.col("memory_id")), F.lit(False)))
-    ranked = met.withColumn("rank", memory.worth(F.col("kind"), F.col("said_at"), F.col("created_at"), now))
-    best = Window.partitionBy("prompt_id").orderBy(F.desc("rank"), F.desc("created_at"), "memory_id")
-    return ranked.withColumn("place", F.row_number().over(best).cast("long")).where(F.col("place") <= limit).select("prompt_id", "memory_id", "rank", "place")
+    """(prompt_id, memory_id, rank, place): the worthiest scoped statements reachable from each ask, unseen, live, actionable.
+
+    The worth of a statement is the same for every ask, so the list is made once per scope that is asked for, from the
+    first rows of each scope above it, and prompts join it by equality: cost is linear in prompts and statements. Lists
+    are longer than limit by as many rows as the prompt with most seen ids can hide.
+    """
+    mine = statements.where(memory.live() & F.col("scope_key").isNotNull() & memory.live_at(F.lit(None).cast("timestamp"), now)).select(F.col("id").alias("memory_id"), F.col("scope_key").alias("at_scope"), "created_at", memory.worth(F.col("kind"), F.col("said_at"), F.col("created_at"), now).alias("rank"))
+    some = asks.select("prompt_id", "ask", *(["seen"] if "seen" in asks.columns else [])).where("ask is not null")
+    hidden, reach = F.lit(0), limit
+    if "seen" in some.columns:
+        copies = mine.groupBy("memory_id").count().agg(F.max("count")).first()[0] or 0  # rows that one seen id hides
+        hidden = F.greatest(F.coalesce(F.size("seen"), F.lit(0)), F.lit(0)) * F.lit(copies)
+        reach += some.agg(F.max(hidden)).first()[0] or 0
+    order = [F.desc("rank"), F.desc("created_at"), F.asc_nulls_last("memory_id")]
+    first = lambda rows, key, n: rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= n)
+    above = some.select("ask").distinct().withColumn("at_scope", F.explode(scope.ancestors(F.col("ask"))))
+    listed = first(above.join(first(mine, "at_scope", reach).drop("place"), "at_scope"), "ask", reach)
+    listed = listed.groupBy("ask").agg(F.array_sort(F.collect_list(F.struct("place", "memory_id", "rank", "created_at"))).alias("list"))
+    met = skew.spread_join(some, listed, ["ask"], skew.hot_keys(some.groupBy("ask").agg(F.count("*").alias("n")), ["ask"]), ["prompt_id"])
+    if "seen" in some.columns:
+        unseen = lambda x: ~F.coalesce(F.array_contains("seen", x["memory_id"]), F.lit(False))
+        met = met.withColumn("list", F.slice(F.filter(F.slice("list", F.lit(1), F.lit(limit) + hidden), unseen), 1, limit))
+    each = met.select("prompt_id", F.posexplode("list").alias("place", "found")).select("prompt_id", "found.memory_id", "found.rank", (F.col("place") + 1).cast("long").alias("place"), "found.created_at")
+    if not _once(some):
+        each = first(each, "prompt_id", limit).withColumn("place", F.col("place").cast("long"))
+    return each.select("prompt_id", "memory_id", "rank", "place")
+
+
+def _once(prompts: DataFrame) -> bool:
+    """Whether no prompt_id stands in two rows; the lists of rows that share one are ranked together."""
+    return prompts.groupBy("prompt_id").count().where("count > 1").isEmpty()
 
 
 def read(statements: DataFrame, ask: str | None, now: Column, *, order: str = "rank", limit: int = 50) -> DataFrame:
