@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import memory, scope
-from quern.operators import skew, vectors
+from quern.operators import newest, skew, vectors
 
 MARGIN, LIMIT, ACTIONABLE = 0.09, 5, 0.6
 NEIGHBOURS, EMPTY_SHARE, SILENCE_WORDS = 20, 0.8, 12
@@ -106,12 +106,20 @@ def read(statements: DataFrame, ask: str | None, now: Column, *, order: str = "r
 def standing(messages: DataFrame, statements: DataFrame, limit: int = 40) -> DataFrame:
     """(prompt_id, memory_id, number): live reachable statements of the firing kinds said strictly before each message.
 
-    messages has prompt_id, ask, kinds, said_at; newest first, numbered from 1, at most limit each.
+    messages has prompt_id, ask, kinds, said_at; newest first, numbered from 1, at most limit each. A statement is held
+    under its kind and scope, and a message asks under its kinds and the scopes above it, so no pairs are formed.
     """
-    mine = statements.where(memory.live()).select(F.col("id").alias("memory_id"), F.col("scope_key").alias("at_scope"), F.col("kind"), F.col("said_at").alias("earlier_at"))
-    met = scope.reachable_join(messages, mine, "ask", "at_scope").where(F.array_contains("kinds", F.col("kind")) & (F.col("earlier_at") < F.col("said_at")))
-    newest = Window.partitionBy("prompt_id").orderBy(F.desc("earlier_at"), F.desc("memory_id"))
-    return met.withColumn("number", F.row_number().over(newest).cast("long")).where(F.col("number") <= limit).select("prompt_id", "memory_id", "number")
+    # the length tells where a kind ends; without a scope nothing follows
+    key = lambda kind, at: F.concat(F.length(kind).cast("string"), F.lit(":"), kind, F.coalesce(F.concat(F.lit("/"), at), F.lit("")))
+    held = statements.where(memory.live()).select(key(F.col("kind"), F.col("scope_key")).alias("key"), F.col("id").alias("memory_id"), F.unix_micros("said_at").alias("at")).where("key is not null and at is not null")
+    above = F.concat(scope.ancestors(F.col("ask")), F.array(F.lit(None).cast("string")))
+    keys = F.flatten(F.transform(F.array_distinct(F.array_compact("kinds")), lambda kind: F.transform(F.col("above"), lambda at: key(kind, at))))
+    asked = messages.withColumn("above", above).select("prompt_id", keys.alias("keys"), F.unix_micros("said_at").alias("at")).where("size(keys) > 0 and at is not null")
+    met = newest.newest_before(asked, held, limit)
+    if not _once(asked):
+        again = Window.partitionBy("prompt_id").orderBy(F.desc("at"), F.desc("memory_id"))
+        met = met.withColumn("number", F.row_number().over(again)).where(F.col("number") <= limit).withColumn("number", F.col("number").cast("long"))
+    return met.select("prompt_id", "memory_id", "number")
 
 
 def seen(handed: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import recall
+from quern.operators import newest, recall
 
 NOW = datetime(2024, 6, 1, tzinfo=timezone.utc)
 MEMORY = "id long, kind string, scope_key string, created_at timestamp, said_at timestamp, superseded_by long, superseded_at timestamp, ended_at timestamp, until_moment timestamp, actionable double"
@@ -63,3 +63,30 @@ def test_opening_meets_no_pairs_of_a_crowded_scope(spark):
     asks = df.select(F.col("id").alias("prompt_id"), F.lit("a/b").alias("ask")).distinct().cache()
     found = recall.opening(asks, df, F.lit(NOW), 10)
     assert most_rows(found) <= 10 * asks.count() == found.count()
+
+
+@pytest.mark.parametrize("rows,at_once,instants", [(10_000, 2_000_000, 50), (15, 40, 50), (15, 1, 2), (15, 40, 1)])
+def test_standing_statements_are_those_of_all_pairs(spark, monkeypatch, rows, at_once, instants):
+    monkeypatch.setattr(newest, "ROWS", rows)  # many slices, and instants that fill several
+    monkeypatch.setattr(newest, "AT_ONCE", at_once)
+    held, df = statements(spark, 300, instants=instants)
+    kinds = [["semantic"], ["odd", "praise", None, "odd"], [None], None, [], ["semantic", "praise", "odd", "other"]]
+    asked = [(i // 2 if i % 9 == 1 else i, s, kinds[i % 6], None if i % 17 == 5 else NOW - timedelta(minutes=i * 7 % instants, seconds=i % 2 * 30 - 1)) for i, s in enumerate([*SCOPES, "a/b/c/d", "a/x", "q"] * 6)]
+    of = {}
+    for p, ask, fired, at in asked:
+        for i, kind, scope, _, said, gone, *_ in held:
+            if at and said and said < at and not gone and kind in [k for k in fired or [] if k] and (scope is None or reaches(ask, scope)):
+                of.setdefault(p, []).append((said, -1 if i is None else i))
+    want = sorted((p, n, None if m == -1 else m) for p, found in of.items() for n, (_, m) in enumerate(sorted(found, reverse=True)[:5], 1))
+    messages = spark.createDataFrame(asked, "prompt_id long, ask string, kinds array<string>, said_at timestamp")
+    got = recall.standing(messages, df, 5).collect()
+    assert sorted((r.prompt_id, r.number, r.memory_id) for r in got) == [(p, n, m) for p, n, m in want]
+    assert recall.standing(messages.limit(0), df, 5).count() == recall.standing(messages, df.limit(0), 5).count() == 0
+
+
+def test_standing_meets_no_pairs_of_a_crowded_scope(spark):
+    df = spark.range(1, 1001).select("id", F.lit("semantic").alias("kind"), F.lit("a").alias("scope_key"), F.timestamp_seconds("id").alias("said_at"), F.lit(None).cast("long").alias("superseded_by"), F.lit(None).cast("timestamp").alias("ended_at"))
+    asked = df.select(F.col("id").alias("prompt_id"), F.lit("a/b").alias("ask"), F.array("kind").alias("kinds"), "said_at").cache()
+    found = recall.standing(asked, df, 5)
+    assert most_rows(found) <= 5 * 1000
+    assert {(r.prompt_id, r.memory_id, r.number) for r in found.collect()} == {(p, p - n, n) for p in range(1, 1001) for n in range(1, 6) if p > n}
